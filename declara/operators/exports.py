@@ -49,19 +49,38 @@ def rule_meta(rule_id: Column, rules: list[dict] | None = None) -> Column:
     return F.coalesce(F.create_map(*entries).cast(_META_TYPE)[rule_id], unknown)
 
 
-def _results(scans: DataFrame, *keep: str, chosen: Column | None = None) -> DataFrame:
-    """One row per result with its position (from 1) and rule metadata."""
+_RESULT_COLUMNS = ["rule_id", "declaration", "status", "detected_value", "reason", "legal_reference",
+                   "official_legal_reference", "source_pdf", "severity"]
+
+
+def result_rows(scans: DataFrame, chosen: Column | None = None) -> DataFrame:
+    """One row per result with its position (from 1) and the scan's name and time."""
     array = F.col("compliance.results") if chosen is None else chosen
-    rows = scans.select(*keep, F.posexplode(array).alias("p", "r")).withColumn("m", rule_meta(F.coalesce("r.rule_id", F.lit(""))))
-    return rows.withColumn("pos", F.col("p") + 1).drop("p")
+    return scans.select("scan_id", "created_at_str", "product_name", F.posexplode(array).alias("pos", "r")).select(
+        "scan_id", "created_at_str", "product_name", (F.col("pos") + 1).alias("pos"), "r.*")
+
+
+def _with_meta(rows: DataFrame) -> DataFrame:
+    """Rows with rule metadata; result columns a table lacks count as missing."""
+    absent = {n: F.lit(None).cast("string") for n in _RESULT_COLUMNS if n not in rows.columns}
+    out = rows.withColumns(absent) if absent else rows
+    return out.withColumn("m", rule_meta(F.coalesce("rule_id", F.lit(""))))
 
 
-def _legal(r: str = "r", m: str = "m") -> Column:
-    return F.coalesce(filled(F.col(f"{r}.official_legal_reference")), filled(F.col(f"{r}.legal_reference")), F.col(f"{m}.legal_ref"))
+def _legal() -> Column:
+    return F.coalesce(filled(F.col("official_legal_reference")), filled(F.col("legal_reference")), F.col("m.legal_ref"))
 
 
 def _source() -> Column:
-    return F.coalesce(filled(F.col("r.source_pdf")), F.col("m.source_pdf"))
+    return F.coalesce(filled(F.col("source_pdf")), F.col("m.source_pdf"))
+
+
+def _or_empty(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(""))
+
+
+def _detected() -> Column:
+    return F.coalesce(filled(F.col("detected_value")), F.lit(NOT_DETECTED))
 
 
 def overview_rows(scans: DataFrame) -> DataFrame:
@@ -118,14 +137,13 @@ def flattened_fields(scans: DataFrame) -> DataFrame:
         "scan_id", (F.col("pos") + 1).alias("pos"), "f.*")
 
 
-def rule_rows(scans: DataFrame) -> DataFrame:
-    """Rule-by-rule table of each scan with the citation and source of every rule."""
-    return _results(scans, "scan_id").select(
-        "scan_id", "pos", F.coalesce("r.rule_id", F.lit("")).alias("rule_id"),
-        F.coalesce("r.declaration", "m.declaration").alias("declaration"), F.coalesce("r.status", F.lit("")).alias("status"),
-        F.coalesce(filled(F.col("r.detected_value")), F.lit(NOT_DETECTED)).alias("detected_value"),
-        F.coalesce("r.reason", F.lit("")).alias("reason"), _legal().alias("legal_citation"), _source().alias("source_document"),
-        F.coalesce(filled(F.col("r.severity")), F.col("m.severity")).alias("severity"))
+def rule_rows(rows: DataFrame) -> DataFrame:
+    """Rule-by-rule table with the citation and source of every rule, from result rows."""
+    return _with_meta(rows).select(
+        "scan_id", "pos", _or_empty("rule_id").alias("rule_id"), F.coalesce("declaration", "m.declaration").alias("declaration"),
+        _or_empty("status").alias("status"), _detected().alias("detected_value"), _or_empty("reason").alias("reason"),
+        _legal().alias("legal_citation"), _source().alias("source_document"),
+        F.coalesce(filled(F.col("severity")), F.col("m.severity")).alias("severity"))
 
 
 def all_scans(scans: DataFrame) -> DataFrame:
@@ -139,14 +157,12 @@ def all_scans(scans: DataFrame) -> DataFrame:
         F.coalesce(verdict, F.lit("N/A")).alias("authenticity_verdict"), F.col("officer").alias("officer_id"))
 
 
-def violations_log(scans: DataFrame) -> DataFrame:
-    """Every failed or warned result of every scan."""
-    bad = F.filter("compliance.results", lambda r: r["status"].isin(BAD))
-    return _results(scans, "scan_id", "created_at_str", "product_name", chosen=bad).select(
-        "scan_id", F.col("created_at_str").alias("inspection_date"), "product_name",
-        F.coalesce("r.rule_id", F.lit("")).alias("rule_id"), F.coalesce("r.declaration", F.lit("")).alias("declaration"),
-        F.col("r.status").alias("status"), F.coalesce(filled(F.col("r.detected_value")), F.lit(NOT_DETECTED)).alias("observed_value"),
-        F.coalesce("r.reason", F.lit("")).alias("reason"), _legal().alias("legal_reference"), _source().alias("source_document"))
+def violations_log(rows: DataFrame) -> DataFrame:
+    """Every failed or warned result, from result rows with the scan's name and time."""
+    return _with_meta(rows.filter(F.col("status").isin(BAD))).select(
+        "scan_id", F.col("created_at_str").alias("inspection_date"), "product_name", _or_empty("rule_id").alias("rule_id"),
+        _or_empty("declaration").alias("declaration"), "status", _detected().alias("observed_value"),
+        _or_empty("reason").alias("reason"), _legal().alias("legal_reference"), _source().alias("source_document"))
 
 
 def show_cause_rows(scans: DataFrame) -> DataFrame:
@@ -155,10 +171,10 @@ def show_cause_rows(scans: DataFrame) -> DataFrame:
     bad = F.filter(results, lambda r: r["status"].isin(BAD))
     chosen = F.when(F.size(bad) > 0, bad).otherwise(F.slice(results, 1, 3))
     default = "Mandatory statutory declaration missing or non-conforming on PDP"
-    return _results(scans, "scan_id", chosen=chosen).select(
-        "scan_id", F.col("pos").alias("serial_no"), F.coalesce("r.rule_id", F.lit("")).alias("rule_id"),
-        F.coalesce("r.declaration", "m.declaration").alias("declaration"),
-        F.coalesce(filled(F.col("r.reason")), F.lit(default)).alias("finding"), _legal().alias("legal_reference"),
+    return _with_meta(result_rows(scans, chosen)).select(
+        "scan_id", F.col("pos").alias("serial_no"), _or_empty("rule_id").alias("rule_id"),
+        F.coalesce("declaration", "m.declaration").alias("declaration"),
+        F.coalesce(filled(F.col("reason")), F.lit(default)).alias("finding"), _legal().alias("legal_reference"),
         _source().alias("source_document"))
 
 

@@ -207,7 +207,8 @@ def vector_search(questions: DataFrame, entries: DataFrame, top_k: int = 3, bloc
     e_blocks = max(1, -(-entries.count() // block_rows))
 
     def replicated(df: DataFrame, key: list[str], own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(*key), F.lit(own_n)).cast("int")).withColumn(
+        fresh = df.toDF(*df.columns)  # own column identities: both sides may stem from one table
+        return fresh.withColumn(own, F.pmod(F.xxhash64(*key), F.lit(own_n)).cast("int")).withColumn(
             other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
 
     q = replicated(questions.select("q_id", "text", "embedding"), ["q_id"], "qb", q_blocks, "eb", e_blocks)

@@ -24,7 +24,7 @@ def append_scans(payloads: DataFrame, path: str) -> None:
 def write_csv_audit(scans: DataFrame, path: str) -> dict[str, str]:
     """The three sections of the audit record of normalised scans, one CSV folder each."""
     sections = {"overview": exports.overview_rows(scans), "declarations": exports.flattened_fields(scans),
-                "assessment": exports.rule_rows(scans)}
+                "assessment": exports.rule_rows(exports.result_rows(scans))}
     for name, df in sections.items():
         df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
     return {name: f"{path}/{name}" for name in sections}

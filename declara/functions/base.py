@@ -68,3 +68,10 @@ def number_text(col: Column) -> Column:
         F.regexp_replace(F.round(col, 6).cast("decimal(30,6)").cast("string"), r"0+$", ""), r"\.$", ".0")
     java = col.cast("string")
     return F.when(java.contains("E"), plain).otherwise(java)
+
+
+def rounded(col: Column | str, digits: int = 0) -> Column:
+    """Round half away from zero in double arithmetic, like SQL engines do on doubles."""
+    x = F.col(col) if isinstance(col, str) else col
+    scale = float(10 ** digits)
+    return F.round(x.cast("double") * scale) / scale

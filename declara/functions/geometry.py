@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from declara import catalog as c
-from declara.functions.base import let
+from declara.functions.base import let, rounded
 
 _ZERO = [0.0, 0.0, 0.0, 0.0]
 
@@ -70,7 +70,7 @@ def center_y(box: Column) -> Column:
 def normalized(box: Column, width: Column, height: Column) -> Column:
     """Corners as fractions of the image size, clamped to [0, 1], four decimals."""
     def part(i: int, size: Column) -> Column:
-        return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), at(box, i) / size)), 4)
+        return rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), at(box, i) / size)), 4)
 
     return F.when((width > 0) & (height > 0),
                   F.array(part(0, width), part(1, height), part(2, width), part(3, height))
@@ -81,7 +81,7 @@ def scaled_back(box: Column, factor: Column) -> Column:
     """From the preprocessed size back to the original one; untouched for factor 1 or <= 0."""
     inverse = F.lit(1.0) / factor
     return F.when((factor <= 0) | (factor == 1.0), box).otherwise(
-        F.array(*[F.round(at(box, i) * inverse, 1) for i in range(4)]))
+        F.array(*[rounded(at(box, i) * inverse, 1) for i in range(4)]))
 
 
 def union_box(polygons: Column) -> Column:
@@ -90,7 +90,7 @@ def union_box(polygons: Column) -> Column:
 
     def corner(bs: Column, i: int) -> Column:
         values = F.transform(bs, lambda b: at(b, i))
-        return F.round(F.array_min(values) if i < 2 else F.array_max(values), 1)
+        return rounded(F.array_min(values) if i < 2 else F.array_max(values), 1)
 
     return let(boxes, lambda bs: F.when(F.size(bs) > 0, F.array(*[corner(bs, i) for i in range(4)]))
                .otherwise(_doubles(_ZERO)))
@@ -125,7 +125,7 @@ def position(box: Column, width: Column, height: Column) -> Column:
             cx.alias("center_x"), cy.alias("center_y"),
         )
 
-    center = F.struct(F.round(center_x(box) / width, 3).alias("x"), F.round(center_y(box) / height, 3).alias("y"))
+    center = F.struct(rounded(center_x(box) / width, 3).alias("x"), rounded(center_y(box) / height, 3).alias("y"))
     known = (width > 0) & (height > 0) & (F.size(box) > 0)
     return F.when(F.coalesce(known, F.lit(False)), let(center, place)).otherwise(_unknown_position())
 
@@ -163,12 +163,12 @@ def readability(confidence: Column, box: Column, sharpness: Column | None = None
         )
         return F.struct(
             status.alias("status"), height.alias("text_height"), m["width"].alias("text_width"),
-            F.round(conf, 3).alias("confidence"), F.round(m["sharp"], 1).alias("sharpness"),
+            rounded(conf, 3).alias("confidence"), rounded(m["sharp"], 1).alias("sharpness"),
             F.when(reasons == "", c.READABLE_REASON).otherwise(reasons).alias("reason"),
         )
 
-    measures = F.struct(confidence.cast("double").alias("conf"), F.round(box_height(box), 1).alias("height"),
-                        F.round(box_width(box), 1).alias("width"), sharp.cast("double").alias("sharp"))
+    measures = F.struct(confidence.cast("double").alias("conf"), rounded(box_height(box), 1).alias("height"),
+                        rounded(box_width(box), 1).alias("width"), sharp.cast("double").alias("sharp"))
     return let(measures, judge)
 
 
@@ -219,7 +219,7 @@ def polygon_angle(poly: Column) -> Column:
     def angle(e: Column) -> Column:
         flat = (F.abs(e["dx"]) < 1e-5) & (F.abs(e["dy"]) < 1e-5)
         return F.when(flat, 0.0).otherwise(
-            F.round(F.pmod(F.degrees(F.atan2(e["dy"], e["dx"])), F.lit(360.0)), 1))
+            rounded(F.pmod(F.degrees(F.atan2(e["dy"], e["dx"])), F.lit(360.0)), 1))
 
     return F.when(F.coalesce(F.size(poly), F.lit(0)) > 2, let(edge, angle)).otherwise(0.0)
 

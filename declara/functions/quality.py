@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from declara import catalog as c
-from declara.functions.base import any_word, has, let, rx, strip
+from declara.functions.base import any_word, has, let, rounded, rx, strip
 
 
 def _any_pattern(text: Column, patterns: list[str]) -> Column:
@@ -33,9 +33,9 @@ def quality(text: Column, confidence: Column) -> Column:
             (patterns / F.lit(3.0) * 30.0).alias("pat"),
             ((density * 0.6 + F.least(F.lit(1.0), words / F.lit(8.0)) * 0.4) * 10.0).alias("dens"),
         ), lambda m: F.struct(
-            F.round(m["conf"] + m["key"] + m["pat"] + m["dens"], 2).alias("score"),
-            F.round(m["conf"], 2).alias("confidence_score"), F.round(m["key"], 2).alias("keyword_score"),
-            F.round(m["pat"], 2).alias("pattern_score"), F.round(m["dens"], 2).alias("density_score")))
+            rounded(m["conf"] + m["key"] + m["pat"] + m["dens"], 2).alias("score"),
+            rounded(m["conf"], 2).alias("confidence_score"), rounded(m["key"], 2).alias("keyword_score"),
+            rounded(m["pat"], 2).alias("pattern_score"), rounded(m["dens"], 2).alias("density_score")))
 
     zero = F.struct(*[F.lit(0.0).alias(n) for n in (
         "score", "confidence_score", "keyword_score", "pattern_score", "density_score")])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from declara.functions.base import let
+from declara.functions.base import let, rounded
 
 MAX_COLOR_DISTANCE = (255.0 ** 2 * 3.0) ** 0.5
 
@@ -35,5 +35,5 @@ def _mean_nearest(colors: Column, others: Column) -> Column:
 def palette_similarity(a: Column, b: Column) -> Column:
     """1 minus the mean both-way distance to the nearest colour, as a share of the largest distance."""
     mean = (_mean_nearest(a, b) + _mean_nearest(b, a)) / 2.0
-    value = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - mean / F.lit(MAX_COLOR_DISTANCE))), 4)
+    value = rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - mean / F.lit(MAX_COLOR_DISTANCE))), 4)
     return F.when(F.coalesce((F.size(a) > 0) & (F.size(b) > 0), F.lit(False)), value).otherwise(0.0)

@@ -12,19 +12,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from declara import catalog as c
-from declara.functions.base import filled, strip
+from declara.functions.base import filled, rounded, strip
 
 BAD = ["FAIL", "WARNING"]
 
 
 def rate(part: Column, whole: Column, digits: int = 2) -> Column:
     """Percentage with 0.0 for an empty whole."""
-    return F.when(whole > 0, F.round(part * 100 / whole.cast("double"), digits)).otherwise(F.lit(0.0))
+    return F.when(whole > 0, rounded(part * 100 / whole.cast("double"), digits)).otherwise(F.lit(0.0))
 
 
 def _mean(col: str, scale: int, digits: int) -> Column:
     total = F.sum(F.col(col).cast(f"decimal(24,{scale})")).cast("double")
-    return F.coalesce(F.round(total / F.count(col), digits), F.lit(0.0))
+    return F.coalesce(rounded(total / F.count(col), digits), F.lit(0.0))
 
 
 def parse_bound(value: str | dt.date | dt.datetime | None) -> dt.datetime | None:
@@ -108,7 +108,7 @@ def field_share(rates: DataFrame) -> DataFrame:
     """Share of each field in all violations, whole percent; 1 stands in for no violations."""
     total = F.sum("violation_count").over(Window.partitionBy())
     whole = F.when(total > 0, total).otherwise(1)
-    return rates.withColumn("percentage", F.round(F.col("violation_count") * 100 / whole.cast("double"), 0).cast("int"))
+    return rates.withColumn("percentage", rounded(F.col("violation_count") * 100 / whole.cast("double"), 0).cast("int"))
 
 
 def daily_trend(scans: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from declara import catalog as c
-from declara.functions.base import filled, strip
+from declara.functions.base import filled, rounded, strip
 from declara.operators import analytics as a
 from declara.operators.documents import has_devanagari
 from declara.operators.search import intent
@@ -122,7 +122,7 @@ def answer(questions: DataFrame, hits: DataFrame, metrics: DataFrame) -> DataFra
         .when(kind == "HYBRID", F.concat(as_rule, _hybrid_clause(F.when(grounded, top["rule_id"])))).otherwise(c.REFUSAL)
     )
     confidence = (
-        F.when((kind == "RULE_LOOKUP") | soft, F.when(grounded, F.least(F.lit(1.0), F.round(score + 0.1, 4))).otherwise(0.0))
+        F.when((kind == "RULE_LOOKUP") | soft, F.when(grounded, F.least(F.lit(1.0), rounded(score + 0.1, 4))).otherwise(0.0))
         .when(kind == "DATA_QUERY", 1.0).when(kind == "HYBRID", 0.95).otherwise(0.0)
     )
     cites = grounded & ((kind == "RULE_LOOKUP") | (kind == "HYBRID") | soft)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from declara import catalog as c
 from declara.functions.similarity import cosine, palette_similarity
-from declara.functions.base import strip
+from declara.functions.base import rounded, strip
 
 
 def brand_key(name: Column) -> Column:
@@ -43,7 +43,7 @@ def compare_brands(samples: DataFrame, references: DataFrame, threshold: float =
     joined = lookup_brands(samples, references, brand)
     ref = F.col("ref_embedding")
     joined = joined.withColumn("similarity_score", F.when(ref.isNull(), 0.0).otherwise(
-        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("embedding"), ref))), 4)))
+        rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("embedding"), ref))), 4)))
     score = F.col("similarity_score")
     known = F.col("_key").isNotNull() & ref.isNotNull()
     verdict = F.when(~known, "NO_REFERENCE_AVAILABLE").when(score >= threshold, "GENUINE_LIKELY").otherwise("SUSPICIOUS")

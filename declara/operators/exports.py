@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from declara import catalog as c
-from declara.functions.base import filled
+from declara.functions.base import filled, rounded
 
 NOT_DETECTED = "Not Detected"
 BAD = ["FAIL", "WARNING"]
@@ -116,7 +116,7 @@ def flattened_fields(scans: DataFrame) -> DataFrame:
         obj = F.from_json(raw, "value string, raw_value string, confidence double")
         value = F.when(raw.startswith("{"), F.coalesce(filled(obj["value"]), filled(obj["raw_value"]))).otherwise(filled(raw))
         conf = F.when(raw.startswith("{"), F.coalesce(obj["confidence"], F.lit(0.0))).otherwise(F.lit(1.0))
-        shown = F.when(conf <= 1.0, F.round(conf * 100, 1)).otherwise(conf)
+        shown = F.when(conf <= 1.0, rounded(conf * 100, 1)).otherwise(conf)
         entries.append(F.when(value.isNotNull(), F.struct(
             F.lit(key).alias("field_key"), F.lit(label).alias("label"), value.alias("value"), shown.alias("confidence")).cast(_FIELD)))
     schema = "map<string,string>"

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from declara.functions.base import filled
+from declara.functions.base import filled, rounded
 
 PAGE_COLUMNS = ["id", "product_name", "overall_status", "compliance_score", "created_at", "image_path",
                 "officer_id", "compliance_result", "authenticity_result", "extracted_data", "visual_statistics"]
@@ -27,7 +27,7 @@ def shape_scan_records(payloads: DataFrame) -> DataFrame:
     name = F.coalesce(column("product_name"), F.get_json_object("extracted_data", "$.product_name.value"))
     return payloads.withColumns({
         "overall_status": F.element_at(F.split(status, r"\."), -1),
-        "compliance_score": F.round(points.cast("double"), 2),
+        "compliance_score": rounded(points.cast("double"), 2),
         "product_name": name,
         "scan_date": F.to_date("created_at"),
     })
@@ -108,8 +108,8 @@ def compliance_aggregates(scans: DataFrame) -> DataFrame:
     return per_status.agg(
         total.alias("total_scans"), count_of("COMPLIANT").alias("compliant_count"),
         count_of("NON_COMPLIANT", "POTENTIALLY_NON_COMPLIANT").alias("non_compliant_count"),
-        F.when(total > 0, F.round(count_of("COMPLIANT") * 100 / total.cast("double"), 2)).otherwise(0.0).alias("compliance_rate"),
-        F.when(total > 0, F.round(F.sum("s").cast("double") / total.cast("double"), 2)).otherwise(0.0).alias("average_score"),
+        F.when(total > 0, rounded(count_of("COMPLIANT") * 100 / total.cast("double"), 2)).otherwise(0.0).alias("compliance_rate"),
+        F.when(total > 0, rounded(F.sum("s").cast("double") / total.cast("double"), 2)).otherwise(0.0).alias("average_score"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(
             F.coalesce(filled(F.col("overall_status")), F.lit("None")), "n")))).alias("status_distribution"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from declara import catalog as c
-from declara.functions.base import has, let, strip
+from declara.functions.base import has, let, rounded, strip
 from declara.operators.documents import has_devanagari
 
 # runs of letters, digits, underscores and Devanagari signs
@@ -137,7 +137,7 @@ def keyword_search(questions: DataFrame, entries: DataFrame, top_k: int = 3) ->
         (F.sum(F.col("n") * F.col("points")) / (F.first("total") * 10.0 + 1e-5)).alias("raw_score"))
     w = Window.partitionBy("bag").orderBy(F.desc("raw_score"), F.desc("entry_type"), F.asc("entry_no"))
     best = scored.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank") <= top_k)
-    shown = best.withColumn("score", F.round(F.least(F.lit(1.0), F.col("raw_score")), 4)).drop("raw_score")
+    shown = best.withColumn("score", rounded(F.least(F.lit(1.0), F.col("raw_score")), 4)).drop("raw_score")
     return (bagged.select("q_id", "bag").join(shown, "bag").drop("bag")
             .join(entries.drop("search_text"), ["entry_type", "entry_no"]))
 
@@ -219,7 +219,7 @@ def vector_search(questions: DataFrame, entries: DataFrame, top_k: int = 3, bloc
     w = Window.partitionBy("q_id").orderBy(F.desc("raw_score"), F.desc("entry_type"), F.asc("entry_no"))
     best = partial.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank") <= top_k)
     columns = [n for n in entries.columns if n not in ("search_text", "embedding")]
-    return best.withColumn("score", F.round("raw_score", 4)).drop("raw_score").join(
+    return best.withColumn("score", rounded("raw_score", 4)).drop("raw_score").join(
         entries.select(*columns), ["entry_type", "entry_no"])
 
 

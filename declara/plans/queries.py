@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from declara.functions.base import rounded
 from declara import catalog as c
 from declara import schemas
 from declara.functions import geometry as g
@@ -201,7 +202,7 @@ def q_region_evidence(spark, d):
     rows = x.field_rows(x.extract(_labels_with_regions(spark, d), "product_id"), "product_id")
     e = F.col("evidence")
     return rows.filter("is_detected").select(
-        "product_id", "field_name", F.round("confidence", 4).alias("confidence"), F.size("bounding_boxes").alias("regions"),
+        "product_id", "field_name", rounded("confidence", 4).alias("confidence"), F.size("bounding_boxes").alias("regions"),
         *[g.at(e["bounding_box"], i).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))],
         e["text_height_pixels"].alias("text_height"), e["readability_status"].alias("readability"),
         e["position"]["quadrant"].alias("quadrant"), e["has_evidence"].alias("has_evidence"))
@@ -282,7 +283,7 @@ def q_iou_pairs(spark, d):
     pairs = fu.overlapping_pairs(_regions(spark, d), "image_id", ["engine", *REGION_ORDER])
     return pairs.select(
         "image_id", *[F.least(f"a_{n}", f"b_{n}").alias(f"low_{n}") for n in fu.CORNERS],
-        *[F.greatest(f"a_{n}", f"b_{n}").alias(f"high_{n}") for n in fu.CORNERS], F.round("iou", 6).alias("iou"),
+        *[F.greatest(f"a_{n}", f"b_{n}").alias(f"high_{n}") for n in fu.CORNERS], rounded("iou", 6).alias("iou"),
         (F.col("n_later") * F.col("n_earlier")).alias("copies"))
 
 
@@ -452,7 +453,7 @@ def _panels(spark: SparkSession, d: str) -> DataFrame:
 def q_panel_summary(spark, d):
     """Combined text and confidence over the panels of a product."""
     return pn.panel_summary(_panels(spark, d), "product_id").select(
-        "product_id", "images_processed", F.round("average_confidence", 4).alias("average_confidence"), "regions_count", "ocr_text")
+        "product_id", "images_processed", rounded("average_confidence", 4).alias("average_confidence"), "regions_count", "ocr_text")
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from declara import catalog as c
 from declara import schemas
-from declara.functions.base import strip
+from declara.functions.base import rounded, strip
 from declara.functions.geometry import polygon
 from declara.operators.analytics import in_range
 from declara.operators.search import SNIPPET_CHARS
@@ -111,5 +111,5 @@ def engine_regions(words: DataFrame) -> DataFrame:
     x, y = F.col("left").cast("double"), F.col("top").cast("double")
     w, h = F.col("width").cast("double"), F.col("height").cast("double")
     return words.withColumns({"text": text, "_conf": conf}).filter((F.col("text") != "") & (F.col("_conf") >= 0)).withColumns({
-        "confidence": F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_conf") / 100.0)), 4),
+        "confidence": rounded(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_conf") / 100.0)), 4),
         "bounding_box": polygon(x, y, x + w, y + h)}).drop("_conf", "conf", "left", "top", "width", "height")

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from declara.functions.base import rounded
 from declara.operators.rules import check_products
 
 LATENESS = "2 days"
@@ -36,8 +37,8 @@ def live_trend(scans: DataFrame, lateness: str = LATENESS) -> DataFrame:
     marked = scans if scans.isStreaming is False else scans.withWatermark("created_at", lateness)
     return marked.groupBy(F.window("created_at", "1 day")).agg(
         total.alias("total_scans"), good.alias("compliant_scans"), (total - good).alias("non_compliant_scans"),
-        F.round(good * 100 / total.cast("double"), 2).alias("compliance_rate"),
-        F.round(points / total, 2).alias("average_score"),
+        rounded(good * 100 / total.cast("double"), 2).alias("compliance_rate"),
+        rounded(points / total, 2).alias("average_score"),
     ).select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "total_scans", "compliant_scans",
              "non_compliant_scans", "compliance_rate", "average_score")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
+from functools import reduce, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,14 +49,14 @@ def has(col: Column, pattern: str, ignore_case: bool = True) -> Column:
     return col.rlike(rx(pattern, ignore_case))
 
 
-def words_pattern(words: Iterable[str]) -> str:
-    """Alternation that hits iff one of the words occurs as a substring."""
-    return "|".join(re.sub(r"([\\.\[\]{}()*+?^$|])", r"\\\1", w) for w in dict.fromkeys(words))
-
-
 def any_word(lower_text: Column, words: Iterable[str]) -> Column:
-    """True if the (already lower-cased) text contains one of the words."""
-    return lower_text.rlike(words_pattern(words))
+    """True if the (already lower-cased) text contains one of the words.
+
+    Words that contain another word of the list cannot change the answer and are left out.
+    """
+    unique = list(dict.fromkeys(words))
+    needed = [w for w in unique if not any(o != w and o in w for o in unique)]
+    return reduce(lambda a, b: a | b, [lower_text.contains(w) for w in needed])
 
 
 def first(array: Column) -> Column:
@@ -75,3 +76,21 @@ def rounded(col: Column | str, digits: int = 0) -> Column:
     x = F.col(col) if isinstance(col, str) else col
     scale = float(10 ** digits)
     return F.round(x.cast("double") * scale) / scale
+
+
+def planned_once(build: Callable) -> Callable:
+    """Remember the column expressions a function builds, per argument and per JVM.
+
+    Expressions are immutable and hold no data, so plans can share them; building the long ones
+    anew for every query costs more than running them on small inputs.
+    """
+    kept: dict = {}
+
+    @wraps(build)
+    def wrapper(*args):
+        key = (id(SparkContext._gateway), args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return wrapper

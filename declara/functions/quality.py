@@ -10,7 +10,8 @@ from declara.functions.base import any_word, has, let, rounded, rx, strip
 
 
 def _any_pattern(text: Column, patterns: list[str]) -> Column:
-    return has(text, "|".join(f"(?:{p})" for p in patterns))
+    """Whether a value pattern hits; all of them need a digit, which most noise lacks."""
+    return text.rlike(r"\p{Nd}") & has(text, "|".join(f"(?:{p})" for p in patterns))
 
 
 def quality(text: Column, confidence: Column) -> Column:

@@ -118,11 +118,12 @@ def _containing_tokens(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return probe.join(listed, "gram").filter(F.col("token").contains(F.col("word"))).select("word", "token").distinct()
 
 
-def keyword_search(questions: DataFrame, entries: DataFrame, top_k: int = 3) -> DataFrame:
+def keyword_search(questions: DataFrame, entries: DataFrame, top_k: int = 3, with_entry: bool = True) -> DataFrame:
     """Best ``top_k`` corpus entries per question (q_id, text): q_id, hit_rank, score, entry columns.
 
     Each word earns the points of the best place it occurs in; the sum is a share of the maximum.
-    Questions with the same words are scored once.  Only real matches are ever formed.
+    Questions with the same words are scored once.  Only real matches are ever formed.  The corpus
+    is read twice, so hand in a stored table.  Without ``with_entry`` only the keys come back.
     """
     asked = questions.select("q_id", F.array_sort(content_words(F.col("text"))).alias("ws")).filter(F.size("ws") > 0)
     bagged = asked.select("q_id", F.array_join("ws", " ").alias("bag"), "ws")
@@ -138,8 +139,8 @@ def keyword_search(questions: DataFrame, entries: DataFrame, top_k: int = 3) ->
     w = Window.partitionBy("bag").orderBy(F.desc("raw_score"), F.desc("entry_type"), F.asc("entry_no"))
     best = scored.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank") <= top_k)
     shown = best.withColumn("score", rounded(F.least(F.lit(1.0), F.col("raw_score")), 4)).drop("raw_score")
-    return (bagged.select("q_id", "bag").join(shown, "bag").drop("bag")
-            .join(entries.drop("search_text"), ["entry_type", "entry_no"]))
+    hits = bagged.select("q_id", "bag").join(shown, "bag").drop("bag")
+    return hits.join(entries.drop("search_text"), ["entry_type", "entry_no"]) if with_entry else hits
 
 
 # ---------------------------------------------------------------------------------------------

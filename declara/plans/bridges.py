@@ -54,10 +54,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A bridge view as a DataFrame over the parquet tables of ``sf_dir``."""
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that comes as one small file dealt out to all cores.
+
+    For row-wise text work only.  A table of many files already has more splits than cores and is
+    left as it is, so at scale this adds no shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, deal: str | None = None) -> DataFrame:
+    """A bridge view as a DataFrame over the parquet tables of ``sf_dir``.
+
+    ``deal`` names the table whose rows are dealt out to all cores first.
+    """
     sql = with_views(f"SELECT * FROM {name}")
     used = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\b{t}\b", sql)}
+    if deal is not None:
+        used[deal] = spread(used[deal])
     marked = sql
     for t in used:
         marked = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", marked)

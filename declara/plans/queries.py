@@ -29,7 +29,8 @@ from declara.operators import reading_order as ro
 from declara.operators import rules as ru
 from declara.operators import search as se
 from declara.plans import pipelines
-from declara.plans.bridges import table, view
+from declara.plans.bridges import spread, table, view
+from declara.session import stored
 from declara.sources import readers as rd
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,13 +54,13 @@ def query(fn: Query) -> Query:
 
 
 def _checked(spark: SparkSession, d: str) -> DataFrame:
-    return ru.check_products(view(spark, d, "product_input"), as_of=AS_OF)
+    return ru.check_products(view(spark, d, "product_input", "part"), as_of=AS_OF)
 
 
 @query
 def q_rule_results(spark, d):
     """Every product against every rule."""
-    return ru.rule_rows(ru.evaluate(view(spark, d, "product_input"), as_of=AS_OF), "product_id").select(
+    return ru.rule_rows(ru.evaluate(view(spark, d, "product_input", "part"), as_of=AS_OF), "product_id").select(
         "product_id", "rule_id", "declaration", "status", "detected_value", "reason", "legal_reference", "severity")
 
 
@@ -75,14 +76,14 @@ def q_compliance_score(spark, d):
 @query
 def q_score_from_rows(spark, d):
     """The same roll-up from long rule rows, by aggregation."""
-    rows = ru.rule_rows(ru.evaluate(view(spark, d, "product_input"), as_of=AS_OF), "product_id")
+    rows = ru.rule_rows(ru.evaluate(view(spark, d, "product_input", "part"), as_of=AS_OF), "product_id")
     return ru.score_rows(rows.select("product_id", "status", "severity"), "product_id")
 
 
 @query
 def q_ecommerce_rescore(spark, d):
     """Online listings (every third product) rescored, the rest as physical packs."""
-    products = view(spark, d, "product_input").withColumn(
+    products = view(spark, d, "product_input", "part").withColumn(
         "input_type", F.when(F.col("product_id") % 3 == 0, "ecommerce_listing").otherwise("physical_package"))
     return ru.check_products(products, as_of=AS_OF).select(
         "product_id", "input_type", "overall_status", "compliance_score", "passed", "failed", "warnings",
@@ -103,7 +104,7 @@ def q_guidance_from_results(spark, d):
 
 
 def _extracted(spark: SparkSession, d: str) -> DataFrame:
-    return x.extract(view(spark, d, "label_text"), "product_id")
+    return x.extract(view(spark, d, "label_text", "part"), "product_id")
 
 
 def _value(name: str):
@@ -113,7 +114,7 @@ def _value(name: str):
 @query
 def q_text_repair(spark, d):
     """All repairs over whole document texts."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     fixed = docs.select("doc_id", tx.clean_text(F.col("text")).alias("cleaned"))
     return fixed.select("doc_id", F.length("cleaned").alias("cleaned_chars"), F.md5("cleaned").alias("cleaned_md5"))
 
@@ -121,7 +122,7 @@ def q_text_repair(spark, d):
 @query
 def q_unit_standard(spark, d):
     """Unit spelling of every label."""
-    return view(spark, d, "label_text").select(
+    return view(spark, d, "label_text", "part").select(
         "product_id", tx.standardize_units(F.col("raw_text")).alias("standard_text"))
 
 
@@ -175,7 +176,7 @@ def q_override_merge(spark, d):
     ).unionByName(part.filter(F.col("p_partkey") % 5 == 0).select(
         F.col("p_partkey").alias("product_id"), F.lit("importer_name").alias("field"),
         F.concat(F.lit(" "), F.col("p_brand"), F.lit(" ")).alias("value")))
-    read = x.extract(view(spark, d, "label_text"), "product_id", answers)
+    read = x.extract(view(spark, d, "label_text", "part"), "product_id", answers)
     return read.select("product_id", _value("mrp"), F.col("fields.mrp.confidence").alias("mrp_confidence"),
                        _value("importer_name"), F.col("fields.importer_name.is_detected").alias("importer_detected"),
                        _value("net_quantity"))
@@ -183,7 +184,7 @@ def q_override_merge(spark, d):
 
 def _labels_with_regions(spark: SparkSession, d: str) -> DataFrame:
     """Labels whose lines double as regions, stacked from top to bottom."""
-    labels = view(spark, d, "label_text")
+    labels = view(spark, d, "label_text", "part")
     lines = tx.label_lines(F.col("raw_text"))
     conf = (F.lit(100) - (F.col("product_id") % 7) * 8) / F.lit(100.0)
 
@@ -325,7 +326,7 @@ def q_reading_order_rotated(spark, d):
 
 def _document_engines(spark: SparkSession, d: str) -> DataFrame:
     """Documents as texts of three engines: three consecutive documents show one image."""
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         F.floor(F.col("doc_id") / 3).alias("image_id"), (F.col("doc_id") % 3).alias("engine_no"), F.col("text").alias("raw_text"),
         ((F.col("n_chars") % 101) / F.lit(100.0)).alias("average_confidence"))
 
@@ -440,7 +441,7 @@ def q_panel_note(spark, d):
 
 def _panels(spark: SparkSession, d: str) -> DataFrame:
     """Panel texts: the label lines of a product spread over two panels."""
-    labels = view(spark, d, "label_text")
+    labels = view(spark, d, "label_text", "part")
     lines = tx.label_lines(F.col("raw_text"))
     panel = lambda p: F.filter(lines, lambda ln, i: i % 2 == p)
     parts = F.array(*[F.struct(F.lit(p).alias("panel"), F.array_join(panel(p), "\n").alias("raw_text"),
@@ -741,7 +742,7 @@ def q_palette(spark, d):
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return doc.document_index(view(spark, d, "legal_documents"))
+    return doc.document_index(view(spark, d, "legal_documents", "documents"))
 
 
 @query
@@ -764,13 +765,14 @@ def q_intent(spark, d):
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    return se.corpus(rd.builtin_rules(spark), _index(spark, d))
+    """The corpus as a stored table, as a search service would keep it: read several times per search."""
+    return stored(se.corpus(rd.builtin_rules(spark), _index(spark, d)))
 
 
 @query
 def q_corpus(spark, d):
     """Search corpus: rules and documents."""
-    return _corpus(spark, d).select(
+    return se.corpus(rd.builtin_rules(spark), _index(spark, d)).select(
         "entry_type", "entry_no", "rule_id", "declaration_name", "official_legal_reference", "source_pdf",
         "last_amended_date", "applicability_notes", F.length("search_text").alias("search_chars"),
         F.length("english_text").alias("english_chars"), F.length("hindi_text_snippet").alias("hindi_chars"))
@@ -779,7 +781,7 @@ def q_corpus(spark, d):
 @query
 def q_keyword_search(spark, d):
     """Three best entries of the whole corpus per question."""
-    hits = se.keyword_search(view(spark, d, "questions"), _corpus(spark, d), 3)
+    hits = se.keyword_search(view(spark, d, "questions"), _corpus(spark, d), 3, with_entry=False)
     return hits.select("q_id", "hit_rank", "entry_type", "entry_no", "score")
 
 
@@ -808,7 +810,7 @@ def q_vector_search(spark, d):
 def q_answers(spark, d):
     """Answers to all questions from the rules, the documents and the scan figures."""
     asked = view(spark, d, "questions")
-    hits = se.keyword_search(asked, _corpus(spark, d), 2)
+    hits = se.keyword_search(asked, _corpus(spark, d), 2)  # the cited columns come along
     figures = ans.scan_metrics(_scans(spark, d), _rows(spark, d))
     return ans.answer(asked, hits, figures).select(
         "q_id", "intent", "reply", "confidence", F.coalesce(F.size("citations"), F.lit(0)).alias("citations"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "declara", cores: str | int = "*", shuffle_partitions: int = 8,
@@ -41,3 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
             prefix="declara-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("declara.shared.dir", folder)
     return folder
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """The same rows read back from a table in the shared folder.
+
+    Cuts the lineage of a result that is used several times; a lost executor re-reads files
+    instead of recomputing everything before them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -65,13 +65,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str, deal: str | None = None) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, deal: str | None = None,
+         given: dict[str, DataFrame] | None = None) -> DataFrame:
     """A bridge view as a DataFrame over the parquet tables of ``sf_dir``.
 
-    ``deal`` names the table whose rows are dealt out to all cores first.
+    ``deal`` names the table whose rows are dealt out to all cores first; ``given`` replaces
+    tables, for example by streams.
     """
     sql = with_views(f"SELECT * FROM {name}")
     used = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\b{t}\b", sql)}
+    used.update(given or {})
     if deal is not None:
         used[deal] = spread(used[deal])
     marked = sql

@@ -447,3 +447,11 @@ SELECT a.q_id, CASE WHEN kind = 'UNKNOWN' AND question <> '' AND score >= 0.35 T
     WHEN kind = 'DATA_QUERY' THEN 1.0 WHEN kind = 'HYBRID' THEN 0.95 ELSE 0 END AS confidence,
   CAST(CASE WHEN score > 0.05 AND (kind IN ('RULE_LOOKUP', 'HYBRID') OR (kind = 'UNKNOWN' AND question <> '' AND score >= 0.35)) THEN nhits ELSE 0 END AS INTEGER) AS citations
 FROM asked a, tot, w3, (SELECT * FROM brands WHERE rk = 1) b1, (SELECT * FROM brands WHERE rk = 2) b2 LEFT JOIN (SELECT rule_id, vr AS violation_rate, total_evaluations, violation_count FROM fr) hr ON hr.rule_id = a.rule_id AND a.score > 0.05""")
+
+add("q_stream_trend", f"""SELECT strftime(created_at, '%Y-%m-%d') AS date, count(*) AS total_scans, {GOOD} AS compliant_scans, count(*) - {GOOD} AS non_compliant_scans,
+  round(CAST({GOOD} * 100 AS DOUBLE) / count(*), 2) AS compliance_rate, {AVG} AS average_score FROM scan_records
+  WHERE CAST(created_at AS DATE) + INTERVAL 1 DAY <= (SELECT max(created_at) - INTERVAL 2 DAY FROM scan_records) GROUP BY 1""")
+add("q_stream_scores", f"""WITH {o.rule_ctes('product_input', 'product_id')}, {o.score_cte('product_id')}
+SELECT s.product_id, overall_status, compliance_score, passed, failed, {o.GUIDE} AS guidance_note FROM scored s JOIN product_input p ON p.product_id = s.product_id""")
+add("q_stream_first_deliveries", "SELECT DISTINCT id // 2 AS id FROM scan_records")
+

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,9 @@ from declara.operators import rules as ru
 from declara.operators import search as se
 from declara.plans import pipelines
 from declara.plans.bridges import spread, table, view
-from declara.session import stored
+from declara.session import shared_dir, stored
 from declara.sources import readers as rd
+from declara.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -814,3 +816,47 @@ def q_answers(spark, d):
     figures = ans.scan_metrics(_scans(spark, d), _rows(spark, d))
     return ans.answer(asked, hits, figures).select(
         "q_id", "intent", "reply", "confidence", F.coalesce(F.size("citations"), F.lit(0)).alias("citations"))
+
+
+# ---------------------------------------------------------------------------------------------
+# streams: the tables arrive as files, everything there is processed once
+# ---------------------------------------------------------------------------------------------
+
+
+def _arriving(spark: SparkSession, d: str, name: str) -> DataFrame:
+    schema = table(spark, d, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def _drained(stream: DataFrame) -> DataFrame:
+    """Run a stream over everything available and read its sink."""
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    live.run_available(stream, f"{folder}/out", f"{folder}/state")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def _arriving_scans(spark: SparkSession, d: str) -> DataFrame:
+    scans = view(spark, d, "scan_records", given={"orders": _arriving(spark, d, "orders")})
+    return scans.withColumn("created_at", F.col("created_at").cast("timestamp"))
+
+
+@query
+def q_stream_trend(spark, d):
+    """Daily trend of arriving scans: every day the watermark has closed."""
+    return _drained(live.live_trend(_arriving_scans(spark, d)))
+
+
+@query
+def q_stream_scores(spark, d):
+    """Score and status of arriving products."""
+    products = view(spark, d, "product_input", given={"part": _arriving(spark, d, "part")})
+    scored = live.evaluate_stream(products, as_of=AS_OF)
+    return _drained(scored.select("product_id", "overall_status", "compliance_score", "passed", "failed", "guidance_note"))
+
+
+@query
+def q_stream_first_deliveries(spark, d):
+    """Arriving scans of which every second is a re-delivery."""
+    scans = _arriving_scans(spark, d).withColumn("id", F.floor(F.col("id") / 2)).withColumn("created_at", F.lit(dt.datetime(2024, 1, 1)))
+    return _drained(live.first_deliveries(scans).select("id"))

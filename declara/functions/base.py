@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 from functools import reduce, wraps
 
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Every character a Unicode-aware trim removes.
@@ -94,3 +94,15 @@ def planned_once(build: Callable) -> Callable:
         return kept[key]
 
     return wrapper
+
+
+def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns whose values are computed once, whatever is done with them later.
+
+    A filter on a projected column is normally moved below it by repeating its expression; with
+    expressions as long as a whole extraction, and staged upon each other, that multiplies.  A
+    one-element generator stops this, while filters on other columns still reach the files.
+    """
+    keep = [n for n in df.columns if n not in columns]
+    packed = F.struct(*[col.alias(n) for n, col in columns.items()])
+    return df.select(*keep, F.explode_outer(F.array(packed)).alias("_settled")).select(*keep, "_settled.*")

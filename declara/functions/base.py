@@ -78,6 +78,20 @@ def rounded(col: Column | str, digits: int = 0) -> Column:
     return F.round(x.cast("double") * scale) / scale
 
 
+def fixed_text(col: Column | str, digits: int) -> Column:
+    """A non-negative double with a fixed number of decimals, rounded on its binary value.
+
+    The fraction is split off before scaling, so 41.65 (stored as slightly less) shows as 41.6.
+    """
+    x = F.col(col) if isinstance(col, str) else col
+    scale = 10 ** digits
+    whole = F.floor(x)
+    part = F.rint((x - whole) * float(scale)).cast("bigint")
+    carry = F.when(part == scale, 1).otherwise(0)
+    return F.concat((whole + carry).cast("string"), F.lit("."),
+                    F.lpad((part - carry * scale).cast("string"), digits, "0"))
+
+
 def planned_once(build: Callable) -> Callable:
     """Remember the column expressions a function builds, per argument and per JVM.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from declara import catalog as c
-from declara.functions.base import let, rounded
+from declara.functions.base import fixed_text, let, rounded
 
 _ZERO = [0.0, 0.0, 0.0, 0.0]
 
@@ -151,10 +151,11 @@ def readability(confidence: Column, box: Column, sharpness: Column | None = None
         )
         reasons = F.concat_ws(
             "; ",
-            F.when(conf < c.WARN_CONFIDENCE, F.format_string(
-                f"OCR confidence (%.2f) is very low (< {c.WARN_CONFIDENCE})", conf))
-            .when(conf < c.MIN_CONFIDENCE, F.format_string(
-                f"OCR confidence (%.2f) is below standard screening threshold ({c.MIN_CONFIDENCE})", conf)),
+            F.when(conf < c.WARN_CONFIDENCE, F.concat(
+                F.lit("OCR confidence ("), fixed_text(conf, 2), F.lit(f") is very low (< {c.WARN_CONFIDENCE})")))
+            .when(conf < c.MIN_CONFIDENCE, F.concat(
+                F.lit("OCR confidence ("), fixed_text(conf, 2),
+                F.lit(f") is below standard screening threshold ({c.MIN_CONFIDENCE})"))),
             F.when(height < c.WARN_HEIGHT_PX, F.format_string(
                 "Text height (%.1fpx) is extremely small in image resolution", height))
             .when(height < c.MIN_HEIGHT_PX, F.format_string(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from declara import catalog as c
-from declara.functions.base import filled, rounded, strip
+from declara.functions.base import filled, fixed_text, rounded, strip
 from declara.operators import analytics as a
 from declara.operators.documents import has_devanagari
 from declara.operators.search import intent
@@ -78,9 +78,9 @@ def data_reply(question: Column) -> Column:
         _say("No statutory violations recorded across the ", _number(total), " audits."))
     summary = _say(
         "**Legal Metrology Inspection Analytics Summary**:\n\n• **Total Scans Recorded**: ", _number(total),
-        "\n• **Overall Compliance Rate**: ", F.format_string("%.1f", "compliance_rate"), "%\n• **Compliant Packages**: ",
+        "\n• **Overall Compliance Rate**: ", fixed_text("compliance_rate", 1), "%\n• **Compliant Packages**: ",
         _number(F.col("compliant_scans")), "\n• **Non-Compliant / Violations**: ", _number(F.col("non_compliant_scans")),
-        "\n• **Average Compliance Score**: ", F.format_string("%.1f", "average_compliance_score"), "%")
+        "\n• **Average Compliance Score**: ", fixed_text("average_compliance_score", 1), "%")
     return (
         F.when(total == 0, empty).when(low.contains("top") | low.contains("brand"), brands)
         .when(low.contains("violation") | low.contains("field"), violated).otherwise(summary)

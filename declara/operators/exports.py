@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from declara import catalog as c
-from declara.functions.base import filled, rounded
+from declara.functions.base import filled, fixed_text, rounded
 
 NOT_DETECTED = "Not Detected"
 BAD = ["FAIL", "WARNING"]
@@ -89,7 +89,7 @@ def overview_rows(scans: DataFrame) -> DataFrame:
     entries = [
         ("Scan ID", F.col("scan_id")), ("Product Name", F.col("product_name")),
         ("Overall Compliance Status", F.col("overall_status")),
-        ("Compliance Score (%)", F.format_string("%.1f%%", "compliance_score")),
+        ("Compliance Score (%)", F.concat(fixed_text("compliance_score", 1), F.lit("%"))),
         ("Inspection Timestamp", F.col("created_at_str")), ("Inspecting Officer ID", F.col("officer")),
         ("Total Rules Checked", F.coalesce(doc["total_checks"], F.size(doc["results"])).cast("string")),
         ("Rules Passed", F.coalesce(doc["passed"], F.lit(0)).cast("string")),
@@ -152,7 +152,7 @@ def all_scans(scans: DataFrame) -> DataFrame:
     verdict = F.col("verdict") if "verdict" in scans.columns else F.lit(None).cast("string")
     return scans.withColumn("_failed", F.coalesce(failed, F.array().cast("array<string>"))).select(
         "scan_id", F.col("created_at_str").alias("inspection_date"), "product_name", "overall_status",
-        F.format_string("%.1f%%", "compliance_score").alias("score"), F.size("_failed").alias("violations_count"),
+        F.concat(fixed_text("compliance_score", 1), F.lit("%")).alias("score"), F.size("_failed").alias("violations_count"),
         F.when(F.size("_failed") > 0, F.array_join("_failed", ", ")).otherwise("None").alias("failed_rule_ids"),
         F.coalesce(verdict, F.lit("N/A")).alias("authenticity_verdict"), F.col("officer").alias("officer_id"))
 
@@ -190,7 +190,7 @@ def kpis(scans: DataFrame) -> DataFrame:
         F.coalesce(doc["passed"], count("PASS")).alias("declarations_passed"),
         F.coalesce(doc["failed"], count("FAIL")).alias("violations_detected"),
         F.coalesce(doc["warnings"], count("WARNING")).alias("warnings"),
-        F.format_string("%.1f%%", "compliance_score").alias("compliance_percentage"))
+        F.concat(fixed_text("compliance_score", 1), F.lit("%")).alias("compliance_percentage"))
 
 
 def visual_metrics(scans: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from declara.operators.documents import has_devanagari
 # runs of letters, digits, underscores and Devanagari signs
 TOKEN = r"[\p{L}\p{N}_\x{0900}-\x{097F}]+"
 GRAM_MIN, GRAM_MAX = 2, 6
+BROADCAST_WORDS = 200_000
 CORPUS_COLUMNS = [
     "entry_type", "entry_no", "rule_id", "declaration_name", "official_legal_reference", "source_pdf",
     "english_text", "hindi_text_snippet", "last_amended_date", "applicability_notes", "search_text",
@@ -115,6 +116,9 @@ def _containing_tokens(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     listed = vocabulary.select("token", F.explode(grams(F.col("token"))).alias("gram"))
     probe = words.select("word", F.substring("word", 1, GRAM_MAX).alias("gram"))
+    # few distinct words are sent to the vocabulary; more of them meet it in a shuffle join
+    if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        probe = F.broadcast(probe)
     return probe.join(listed, "gram").filter(F.col("token").contains(F.col("word"))).select("word", "token").distinct()
 
 

@@ -378,6 +378,7 @@ base AS (SELECT p.product_id, p.raw_text,
   orig.value AS origin0, orig.raw AS origin_raw, pname.value AS product_name,
   manufacturer.name AS manufacturer_name, manufacturer.address AS maker_addr0, manufacturer.raw AS manufacturer_raw,
   packer.name AS packer_name, packer.address AS packer_address,
+  qty.raw AS qty_raw0, made.raw AS made_raw, best.raw AS best_raw, packer.raw AS packer_raw, importer.raw AS importer_raw,
   coalesce(gi.value, importer.name) AS importer_name, importer.address AS importer_address, importer.name IS NOT NULL AS importer_found,
   contact.email AS consumer_care_email, contact.phone AS phone0,
   coalesce(care_b.value, nullif(concat_ws(' | ', contact.phone, contact.email), '')) AS consumer_care,
@@ -399,6 +400,7 @@ extracted AS (SELECT * EXCLUDE (fix),
   CASE WHEN fix IS NOT NULL THEN 'India' ELSE origin0 END AS country_of_origin,
   CASE fix WHEN 'place' THEN 0.95 WHEN 'phrase' THEN 0.98 WHEN 'address' THEN 0.9 ELSE CASE WHEN origin0 IS NULL THEN 0 ELSE 0.85 END END AS origin_conf,
   CASE WHEN fix = 'place' AND nullif(maker_addr0, '') IS NULL THEN origin0 ELSE maker_addr0 END AS manufacturer_address,
+  fix = 'place' AND nullif(maker_addr0, '') IS NULL AS addr_moved, coalesce(fix, '') AS origin_fix,
   fix IS NULL AND ((origin0 IS NOT NULL AND NOT {isin('lower(origin0)', c.HOME_COUNTRY_NAMES)}) OR importer_found) AS is_imported,
   CASE WHEN (artefact OR qty0 IS NULL) AND true_qty IS NOT NULL THEN printf('%g', CAST({x('true_qty', QTY, 1, '')} AS DOUBLE)) || ' ' || {x('true_qty', QTY, 2, '')}
     WHEN artefact AND (contains(raw_text, '0.1') OR contains(raw_text, '100')) THEN '0.1 kg (100 g)' ELSE qty0 END AS net_quantity,
@@ -445,11 +447,23 @@ add("q_override_merge", "WITH " + extract_ctes(
 SELECT product_id, mrp, CAST(mrp_conf AS DOUBLE) AS mrp_confidence, importer_name, importer_name IS NOT NULL AS importer_detected, net_quantity FROM extracted""")
 
 
-def _field_rows_sql() -> str:
-    rows = [("product_name", "product_name", "product_name"), ("commodity_name", "product_name", "product_name"),
-            ("manufacturer_name", "manufacturer_name", "manufacturer_raw")]
-    return rows
-
+_ROWS = [
+    # (field, value, raw value, confidence)
+    ("product_name", "product_name", "product_name", "0.85"), ("commodity_name", "product_name", "product_name", "0.85"),
+    ("manufacturer_name", "manufacturer_name", "manufacturer_raw", "0.85"),
+    ("manufacturer_address", "manufacturer_address", "CASE WHEN addr_moved THEN origin_raw ELSE manufacturer_raw END", "0.85"),
+    ("packer_name", "packer_name", "packer_raw", "0.85"), ("packer_address", "packer_address", "packer_raw", "0.85"),
+    ("importer_name", "importer_name", "importer_raw", "0.85"), ("importer_address", "importer_address", "importer_raw", "0.85"),
+    ("net_quantity", "net_quantity", "CASE WHEN qty_conf = 0.95 THEN true_qty WHEN qty_conf = 0.92 THEN '0.1 kg' ELSE qty_raw0 END", "qty_conf"),
+    ("mrp", "mrp", "mrp_raw", "mrp_conf"), ("unit_sale_price", "unit_sale_price", "unit_sale_price", "0.85"),
+    ("date_declaration", "date_declaration", "made_raw", "0.85"), ("best_before", "best_before", "best_raw", "0.85"),
+    ("consumer_care", "consumer_care", "consumer_care", "0.85"), ("consumer_care_email", "consumer_care_email", "consumer_care_email", "0.85"),
+    ("consumer_care_phone", "consumer_care_phone", "consumer_care_phone", "0.85"),
+    ("country_of_origin", "country_of_origin", "CASE origin_fix WHEN '' THEN origin_raw WHEN 'place' THEN coalesce(nullif(origin_raw, ''), 'India') ELSE 'India' END", "origin_conf"),
+]
+add("q_field_rows", f"WITH {EXTRACT}\n" + "\nUNION ALL ".join(
+    f"SELECT product_id, {q(n)} AS field_name, {v} AS value, {r} AS raw_value, CAST({k} AS DOUBLE) AS confidence FROM extracted WHERE {v} IS NOT NULL"
+    for n, v, r, k in _ROWS))
 
 _INSIGHT = {
     "mrp": "mrp", "manufacturer_name": "coalesce(nullif(trim(manufacturer_name), ''), nullif(trim(manufacturer_address), ''), nullif(trim(packer_name), ''), nullif(trim(importer_name), ''))",

@@ -59,6 +59,10 @@ def _spans_sha(spans: Column) -> Column:
     return F.sha2(pii.spans_text(spans).cast("binary"), 256)
 
 
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     spans = F.col("spans")
@@ -70,7 +74,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
     spans = F.col("spans")
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in secret_scan.KINDS]
+    counts = [_count(spans, k) for k in secret_scan.KINDS]
     return found.select("doc_id", *counts, _spans_sha(F.filter(spans, lambda s: s["kind"].isin(*secret_scan.KINDS))).alias("base_sha256"),
                         pii.spans_text(spans).alias("spans"))
 

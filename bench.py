@@ -28,6 +28,8 @@ def main() -> None:
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n in QUERIES]
     spark = local_session("bench", cores, shuffle_partitions=int(cores), memory=os.environ.get("BENCH_MEMORY", "16g"))
 
+    spark.conf.set("declara.deal", cores)
+
     def run(name: str) -> float:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()

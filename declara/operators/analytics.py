@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from declara import catalog as c
@@ -22,21 +22,27 @@ def rate(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.when(whole > 0, rounded(part * 100 / whole.cast("double"), digits)).otherwise(F.lit(0.0))
 
 
-def _mean(col: str, scale: int, digits: int) -> Column:
+def mean_of(col: str, scale: int, digits: int) -> Column:
+    """Mean over the rows that have a value, from an exact sum; 0.0 for none."""
     total = F.sum(F.col(col).cast(f"decimal(24,{scale})")).cast("double")
     return F.coalesce(rounded(total / F.count(col), digits), F.lit(0.0))
 
 
 def parse_bound(value: str | dt.date | dt.datetime | None) -> dt.datetime | None:
-    """Lenient bound of a time range: ISO text, 'Z' suffix or date; anything else is no bound."""
-    if value is None or isinstance(value, dt.datetime):
-        return value
-    if isinstance(value, dt.date):
-        return dt.datetime.combine(value, dt.time())
-    try:
-        return dt.datetime.fromisoformat(value.replace("Z", "+00:00"))
-    except ValueError:
+    """Lenient bound of a time range: ISO text, 'Z' suffix or date; anything else is no bound.
+
+    A bound without zone is UTC, whatever the zone of the machine or the session.
+    """
+    if value is None:
         return None
+    if isinstance(value, str):
+        try:
+            value = dt.datetime.fromisoformat(value.replace("Z", "+00:00"))
+        except ValueError:
+            return None
+    if not isinstance(value, dt.datetime):
+        value = dt.datetime.combine(value, dt.time())
+    return (value if value.tzinfo else value.replace(tzinfo=dt.timezone.utc)).astimezone(dt.timezone.utc)
 
 
 def in_range(scans: DataFrame, start=None, end=None) -> DataFrame:
@@ -58,7 +64,7 @@ def summary(scans: DataFrame) -> DataFrame:
         total.alias("total_scans"), compliant.alias("compliant_scans"),
         F.count_if(F.col("overall_status").isin("NON_COMPLIANT", "POTENTIALLY_NON_COMPLIANT")).alias("non_compliant_scans"),
         rate(compliant, total).alias("compliance_rate"),
-        _mean("compliance_score", 2, 2).alias("average_compliance_score"))
+        mean_of("compliance_score", 2, 2).alias("average_compliance_score"))
 
 
 def short_name(declaration: Column) -> Column:
@@ -106,7 +112,7 @@ def violation_rates(scans: DataFrame, rows: DataFrame) -> DataFrame:
 
 def field_share(rates: DataFrame) -> DataFrame:
     """Share of each field in all violations, whole percent; 1 stands in for no violations."""
-    total = F.sum("violation_count").over(Window.partitionBy())
+    total = F.coalesce(rates.agg(F.sum("violation_count")).scalar(), F.lit(0))
     whole = F.when(total > 0, total).otherwise(1)
     return rates.withColumn("percentage", rounded(F.col("violation_count") * 100 / whole.cast("double"), 0).cast("int"))
 
@@ -118,7 +124,7 @@ def daily_trend(scans: DataFrame) -> DataFrame:
     total = F.count(F.lit(1))
     return scans.groupBy(day.alias("date")).agg(
         total.alias("total_scans"), good.alias("compliant_scans"), (total - good).alias("non_compliant_scans"),
-        rate(good, total).alias("compliance_rate"), _mean("compliance_score", 2, 2).alias("average_score"),
+        rate(good, total).alias("compliance_rate"), mean_of("compliance_score", 2, 2).alias("average_score"),
     ).orderBy("date")
 
 
@@ -134,7 +140,7 @@ def top_brands(scans: DataFrame, rows: DataFrame, n: int = 10) -> DataFrame:
     named = scans.withColumn("brand_name", brand)
     stats = named.groupBy("brand_name").agg(
         total.alias("total_scans"), bad_scan.alias("non_compliant_scans"),
-        rate(bad_scan, total).alias("non_compliance_rate"), _mean("compliance_score", 2, 2).alias("average_compliance_score"))
+        rate(bad_scan, total).alias("non_compliance_rate"), mean_of("compliance_score", 2, 2).alias("average_compliance_score"))
     hits = rows.filter(F.col("status").isin(BAD)).select(
         "scan_id", "pos", short_name(F.coalesce("declaration", F.lit("Unknown Declaration"))).alias("name"))
     seen = hits.join(named.select(F.col("id").alias("scan_id"), "brand_name", "created_at"), "scan_id")
@@ -159,7 +165,7 @@ def authenticity_rate(scans: DataFrame) -> DataFrame:
         total.alias("total_scans_evaluated"), n("GENUINE_LIKELY").alias("genuine_count"),
         n("SUSPICIOUS").alias("suspicious_count"), n("NO_REFERENCE_AVAILABLE").alias("no_reference_count"),
         rate(n("SUSPICIOUS"), total).alias("suspicious_flag_rate"),
-        _mean("similarity_score", 8, 4).alias("average_similarity_score"))
+        mean_of("similarity_score", 8, 4).alias("average_similarity_score"))
 
 
 def text_heights(rows: DataFrame) -> DataFrame:
@@ -173,7 +179,7 @@ def text_heights(rows: DataFrame) -> DataFrame:
         F.count_if((h >= c.WARN_HEIGHT_PX) & (h < c.MIN_HEIGHT_PX)).alias("between_8_12px"),
         F.count_if((h >= c.MIN_HEIGHT_PX) & (h < c.STANDARD_HEIGHT_PX)).alias("between_12_24px"),
         F.count_if(h >= c.STANDARD_HEIGHT_PX).alias("over_24px"),
-        total.alias("total_regions_evaluated"), _mean("h", 6, 1).alias("average_text_height_px"),
+        total.alias("total_regions_evaluated"), mean_of("h", 6, 1).alias("average_text_height_px"),
         rate(low, total).alias("percentage_below_minimum"))
 
 

@@ -52,11 +52,11 @@ def file_stem(filename: Column) -> Column:
 
 
 def title(filename: Column, text: Column) -> Column:
-    """Subject line (cut to 150 characters) or the cleaned file name."""
+    """Subject line or the cleaned file name."""
     subject = strip(F.regexp_extract(text, rx(r"Subject[:\s]+([^\n\r]+)"), 1))
     stem = F.regexp_replace(file_stem(filename), rx(r"_\d{8,12}$", False), "")
     cleaned = strip(F.translate(stem, "_-", "  "))
-    return let(subject, lambda s: F.when(F.length(s) > 10, F.substring(s, 1, 150)).otherwise(cleaned))
+    return let(subject, lambda s: F.when(F.length(s) > 10, s).otherwise(cleaned))
 
 
 def document_index(documents: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from declara.functions.base import filled, rounded
+from declara.operators.analytics import in_range
 
 PAGE_COLUMNS = ["id", "product_name", "overall_status", "compliance_score", "created_at", "image_path",
                 "officer_id", "compliance_result", "authenticity_result", "extracted_data", "visual_statistics"]
@@ -48,11 +49,7 @@ def filter_scans(scans: DataFrame, status: str | None = None, officer_id: int |
         out = out.filter(F.col("officer_id") == officer_id)
     if product_name:
         out = out.filter(F.col("product_name").ilike(f"%{product_name}%"))
-    if date_from:
-        out = out.filter(F.col("created_at") >= F.lit(date_from))
-    if date_to:
-        out = out.filter(F.col("created_at") <= F.lit(date_to))
-    return out
+    return in_range(out, date_from, date_to)
 
 
 def scan_page(scans: DataFrame, limit: int = 50, offset: int = 0, **filters) -> DataFrame:

@@ -15,12 +15,10 @@ from declara.operators.documents import has_devanagari
 # runs of letters, digits, underscores and Devanagari signs
 TOKEN = r"[\p{L}\p{N}_\x{0900}-\x{097F}]+"
 GRAM_MIN, GRAM_MAX = 2, 6
-BROADCAST_WORDS = 200_000
 CORPUS_COLUMNS = [
     "entry_type", "entry_no", "rule_id", "declaration_name", "official_legal_reference", "source_pdf",
     "english_text", "hindi_text_snippet", "last_amended_date", "applicability_notes", "search_text",
 ]
-SNIPPET_CHARS = 1500
 
 
 def tokens(text: Column) -> Column:
@@ -51,12 +49,12 @@ def rule_entries(rules: DataFrame) -> DataFrame:
 def document_entries(index: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Corpus entries of the indexed documents (doc_id, filename, title, date, key_topics).
 
-    ``texts`` (stem, snippet) holds the beginning of the extracted texts; an index that carries
-    ``text`` itself needs no join.
+    ``texts`` (stem, snippet) holds the extracted texts, which are searched as a whole; an index
+    that carries ``text`` itself needs no join.
     """
     topics = F.array_join("key_topics", " ")
     if texts is None:
-        rows = index.withColumn("snippet", F.substring("text", 1, SNIPPET_CHARS))
+        rows = index.withColumn("snippet", F.col("text"))
     else:
         from declara.operators.documents import file_stem
         rows = index.withColumn("stem", file_stem(F.col("filename"))).join(texts, "stem", "left")
@@ -66,7 +64,7 @@ def document_entries(index: DataFrame, texts: DataFrame | None = None) -> DataFr
         F.lit(None).cast("string").alias("rule_id"), F.col("title").alias("declaration_name"),
         F.concat(F.lit("Official DoCA Document: "), F.col("title"), F.lit(" ("), F.coalesce("date", F.lit("")), F.lit(")")).alias("official_legal_reference"),
         F.col("filename").alias("source_pdf"),
-        F.when(snippet != "", F.substring(snippet, 1, 500)).otherwise(F.col("title")).alias("english_text"),
+        F.when(snippet != "", snippet).otherwise(F.col("title")).alias("english_text"),
         F.when(has_devanagari(snippet), snippet).alias("hindi_text_snippet"),
         F.col("date").alias("last_amended_date"), F.concat(F.lit("Topics: "), topics).alias("applicability_notes"),
         strip(F.concat(F.col("title"), F.lit("\nTopics: "), topics, F.lit("\n"), snippet)).alias("search_text"))
@@ -116,9 +114,6 @@ def _containing_tokens(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     listed = vocabulary.select("token", F.explode(grams(F.col("token"))).alias("gram"))
     probe = words.select("word", F.substring("word", 1, GRAM_MAX).alias("gram"))
-    # few distinct words are sent to the vocabulary; more of them meet it in a shuffle join
-    if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
-        probe = F.broadcast(probe)
     return probe.join(listed, "gram").filter(F.col("token").contains(F.col("word"))).select("word", "token").distinct()
 
 

@@ -55,14 +55,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table that comes as one small file dealt out to all cores.
+    """Rows dealt out to as many partitions as the session's setting ``declara.deal`` names.
 
-    For row-wise text work only.  A table of many files already has more splits than cores and is
-    left as it is, so at scale this adds no shuffle.
+    Only the session for measurements on one machine sets it, as its tables are single files of one
+    row group; elsewhere the splits of the files are taken as they are.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    parts = df.sparkSession.conf.get("declara.deal", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, deal: str | None = None,

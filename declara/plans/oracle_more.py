@@ -351,7 +351,7 @@ TEXT_DATE = r"(?:dated|date)[:\s]+(\d{1,2}[\.\/\-]\d{1,2}[\.\/\-]20\d{2})"
 TOPICS = "list_filter([" + ", ".join(f"CASE WHEN {words('name_text', ws)} THEN {q(t)} END" for t, ws in c.TOPICS) + "], lambda t: t IS NOT NULL)"
 INDEX = f"""docs AS (SELECT *, lower(filename || ' ' || text) AS name_text, {strip(x('text', 'Subject[:' + chr(92) + 's]+([^' + chr(92) + 'n' + chr(92) + 'r]+)', 1))} AS subj,
   length(regexp_replace(text, '[^\\x{{0900}}-\\x{{097F}}]+', '', 'g')) > 20 AS hi, length(regexp_replace(text, '[^a-zA-Z]+', '', 'g')) > 50 AS en, {TOPICS} AS tps FROM legal_documents),
-idx AS (SELECT doc_id, filename, text, CASE WHEN length(subj) > 10 THEN substr(subj, 1, 150) ELSE trim(replace(replace(regexp_replace(regexp_replace(filename, '\\.[^.]*$', ''), '_\\d{{8,12}}$', ''), '_', ' '), '-', ' ')) END AS title,
+idx AS (SELECT doc_id, filename, text, CASE WHEN length(subj) > 10 THEN subj ELSE trim(replace(replace(regexp_replace(regexp_replace(filename, '\\.[^.]*$', ''), '_\\d{{8,12}}$', ''), '_', ' '), '-', ' ')) END AS title,
   coalesce(replace(replace({x('filename', FULL_DATE, 1, '')}, '_', '.'), '-', '.'), {x('text', TEXT_DATE, 1)}, {x('filename', '(20' + chr(92) + 'd{2})', 1, '')}, {q(c.DEFAULT_DOCUMENT_DATE)}) AS date,
   {TYPE} AS document_type, CASE WHEN hi AND en THEN 'Bilingual (Hindi-English)' WHEN hi THEN 'Hindi' ELSE 'English' END AS language,
   CASE WHEN len(tps) > 0 THEN tps ELSE [{q(c.DEFAULT_TOPIC)}] END AS topics, length(text) AS char_count FROM docs)"""
@@ -383,9 +383,9 @@ CORPUS = f"""{INDEX},
 rl AS (SELECT * FROM (VALUES {RULE_VALUES}) AS t(n, rule_id, decl, descr, legal, eng, hindi, notes, pdf, amended)),
 corpus AS (SELECT 'rule' AS entry_type, CAST(n AS BIGINT) AS entry_no, rule_id, decl AS declaration_name, legal AS official_legal_reference, pdf AS source_pdf, eng AS english_text, hindi AS hindi_text_snippet,
   amended AS last_amended_date, notes AS applicability_notes, concat_ws(chr(10), decl, descr, legal, eng, hindi, notes) AS search_text FROM rl
- UNION ALL SELECT 'official_document', doc_id, NULL, title, 'Official DoCA Document: ' || title || ' (' || date || ')', filename, CASE WHEN text <> '' THEN substr(text, 1, 500) ELSE title END,
-  CASE WHEN regexp_matches(substr(text, 1, 1500), '[\\x{{0900}}-\\x{{097F}}]') THEN substr(text, 1, 1500) END, date, 'Topics: ' || array_to_string(topics, ' '),
-  {strip("title || chr(10) || 'Topics: ' || array_to_string(topics, ' ') || chr(10) || substr(text, 1, 1500)")} FROM idx)"""
+ UNION ALL SELECT 'official_document', doc_id, NULL, title, 'Official DoCA Document: ' || title || ' (' || date || ')', filename, CASE WHEN text <> '' THEN text ELSE title END,
+  CASE WHEN regexp_matches(text, '[\\x{{0900}}-\\x{{097F}}]') THEN text END, date, 'Topics: ' || array_to_string(topics, ' '),
+  {strip("title || chr(10) || 'Topics: ' || array_to_string(topics, ' ') || chr(10) || text")} FROM idx)"""
 add("q_corpus", f"""WITH {CORPUS} SELECT entry_type, entry_no, rule_id, declaration_name, official_legal_reference, source_pdf, last_amended_date, applicability_notes,
   length(search_text) AS search_chars, length(english_text) AS english_chars, length(hindi_text_snippet) AS hindi_chars FROM corpus""")
 

@@ -12,7 +12,6 @@ from declara import schemas
 from declara.functions.base import rounded, strip
 from declara.functions.geometry import polygon
 from declara.operators.analytics import in_range
-from declara.operators.search import SNIPPET_CHARS
 
 MAX_RULES = 10_000
 
@@ -49,10 +48,10 @@ def read_document_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_extracted_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Beginning of every extracted text file by file stem."""
-    name = F.regexp_replace(F.col("_metadata.file_name"), "%20", " ")
+    """Every extracted text file, whole, by file stem."""
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     return spark.read.text(path, wholetext=True).select(
-        F.regexp_replace(name, r"\.txt$", "").alias("stem"), F.substring("value", 1, SNIPPET_CHARS).alias("snippet"))
+        F.regexp_replace(name, r"\.txt$", "").alias("stem"), F.col("value").alias("snippet"))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:

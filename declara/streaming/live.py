@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from declara.functions.base import rounded
+from declara.operators.analytics import mean_of
 from declara.operators.rules import check_products
 
 LATENESS = "2 days"
@@ -33,12 +34,11 @@ def live_trend(scans: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """
     good = F.count_if(F.col("overall_status") == "COMPLIANT")
     total = F.count(F.lit(1))
-    points = F.sum(F.col("compliance_score").cast("decimal(24,2)")).cast("double")
     marked = scans if scans.isStreaming is False else scans.withWatermark("created_at", lateness)
     return marked.groupBy(F.window("created_at", "1 day")).agg(
         total.alias("total_scans"), good.alias("compliant_scans"), (total - good).alias("non_compliant_scans"),
         rounded(good * 100 / total.cast("double"), 2).alias("compliance_rate"),
-        rounded(points / total, 2).alias("average_score"),
+        mean_of("compliance_score", 2, 2).alias("average_score"),
     ).select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "total_scans", "compliant_scans",
              "non_compliant_scans", "compliance_rate", "average_score")
 

@@ -82,4 +82,51 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_simhash, op4_neighbours, op5_media, op6_mixing,
                                    op7_licenses, op8_quality, op9_pii, op10_secrets)}
 
-ORACLE: dict[str, str] = {}
+# SQL counterparts -----------------------------------------------------------------------------
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _rule_sql() -> tuple[str, str]:
+    fits = [(say, name + start, f"(host = {_text(name)} OR ends_with(host, {_text('.' + name)})) AND starts_with(path, {_text(start)})")
+            for say, name, start in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))]
+    return ("CASE " + " ".join(f"WHEN {test} THEN {_text(rule)}" for _, rule, test in fits) + " END",
+            "CASE " + " ".join(f"WHEN {test} THEN {_text(say)}" for say, _, test in fits) + " END")
+
+
+_RULE, _VERDICT = _rule_sql()
+_OP1 = f"""WITH r AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+h AS (SELECT DISTINCT host, string_split(host, '.') AS labels FROM p WHERE length(host) <= {url_filter.LONGEST_HOST}),
+m AS (SELECT labels, list_position(list_transform(labels, lambda l: list_has_any(string_split(l, '-'), [{', '.join(map(_text, UNWANTED))}])), true) AS i FROM h),
+e AS (SELECT DISTINCT array_to_string(labels[i:], '.') AS entry FROM m WHERE i > 0 AND i < len(labels)),
+j AS (SELECT *, {_RULE} AS rule, {_VERDICT} AS said FROM p),
+x AS (SELECT DISTINCT host FROM h, e WHERE host = entry OR ends_with(host, '.' || entry))
+SELECT page_id, j.host, path, rule, coalesce(said, CASE WHEN x.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  (x.host IS NOT NULL AND rule IS NULL) AS listed
+FROM j LEFT JOIN x ON x.host = j.host"""
+
+_OP4 = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, x: a + x)) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INT) AS rank, vec_id, score FROM d
+QUALIFY rank <= 10"""
+
+_TEMPLATES = ", ".join(f"({i}, {_text(name)}, [{', '.join(map(_text, licenses.template_bigrams(notice)))}])"
+                       for i, (name, notice) in enumerate(licenses.TEMPLATES))
+_OP7 = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+s AS (SELECT row, unnest(list_concat(string_split(t, chr(10)),
+  list_filter(regexp_split_to_array(t, '\\n[ \\t\\r]*\\n'), lambda p: contains(p, chr(10))))) AS s FROM d),
+n AS (SELECT row_number() OVER () AS seg, row, string_split(trim(regexp_replace(s, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM s),
+g AS (SELECT seg, row, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM n WHERE len(w) > 1),
+t AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(i, name, b)),
+c AS (SELECT seg, row, i, name, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g, t WHERE len(list_intersect(g, b)) > 0),
+k AS (SELECT seg, row, i, name, dice FROM c WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY seg ORDER BY dice DESC, i) = 1),
+b AS (SELECT row, name, dice, CAST(count(*) OVER (PARTITION BY row) AS INT) AS n FROM k QUALIFY row_number() OVER (PARTITION BY row ORDER BY dice DESC, i) = 1)
+SELECT doc_id, name AS license, dice, coalesce(n, 0) AS n_segments FROM d LEFT JOIN b ON b.row = d.row"""
+
+#: The others decide by learned scores, token ids, fingerprints or positions of matches, which SQL cannot state.
+ORACLE = {"op1_url_filter": _OP1, "op4_neighbours": _OP4, "op7_licenses": _OP7}

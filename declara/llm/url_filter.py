@@ -108,7 +108,8 @@ def listed_urls(urls: DataFrame, listed: DataFrame, per_shard: int = 1_000_000)
         return left.loc[hit, ["probe"]]
 
     hits = asked.groupBy("shard").cogroup(array.groupBy("shard")).applyInPandas(search, "probe string")
-    return probes.join(hits, "probe").select("host", "path").distinct()
+    # the probes outgrow what the optimizer sees of the stored URLs, so neither side is broadcast
+    return probes.join(hits.hint("merge"), "probe").select("host", "path").distinct()
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id",

@@ -108,6 +108,13 @@ SELECT conv_id * 1000 + turn AS q_id,
     WHEN 4 THEN 'country of origin for imported goods' ELSE substr(text, 1, 60) END AS text
 FROM conversations WHERE role = 'user';
 
+-- view: messages
+SELECT conv_id * 1000 + turn AS q_id,
+  concat(CASE conv_id % 6 WHEN 0 THEN 'What is the MRP rule ' WHEN 1 THEN 'How many total scans '
+    WHEN 2 THEN 'violation rate for net quantity rule ' WHEN 3 THEN 'How to bake a cake '
+    WHEN 4 THEN 'country of origin for imported goods ' ELSE '' END, coalesce(text, '')) AS text
+FROM conversations WHERE role = 'user';
+
 -- view: legal_documents
 SELECT doc_id,
   CASE doc_id % 4 WHEN 0 THEN concat('2023.', CAST(1 + doc_id % 12 AS STRING), '.5 amendment_1732871791.pdf')

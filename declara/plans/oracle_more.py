@@ -334,14 +334,14 @@ add("q_brand_registry", """SELECT 'brand_' || CAST(brand_id AS VARCHAR) AS brand
 
 def _pal(prefix: int) -> str:
     ch = lambda i: f"CAST(floor(abs(CAST(embedding[{i + 1}] AS DOUBLE)) * 1000) AS INTEGER) % 256"
-    return "[" + ", ".join("[" + ", ".join(ch(prefix + 3 * k + j) for j in range(3)) + "]" for k in range(3)) + "]"
+    return "[" + ", ".join("[" + ", ".join(ch(prefix + (3 * k + j) % 32) for j in range(3)) + "]" for k in range(11)) + "]"
 
 
 def _near(a: str, b: str) -> str:
     return f"list_avg(list_transform({a}, lambda p: list_min(list_transform({b}, lambda r: sqrt(CAST((p[1]-r[1])*(p[1]-r[1]) + (p[2]-r[2])*(p[2]-r[2]) + (p[3]-r[3])*(p[3]-r[3]) AS DOUBLE))))))"
 
 
-add("q_palette", f"""WITH p AS (SELECT vec_id, {_pal(0)} AS a, {_pal(9)} AS b FROM embeddings)
+add("q_palette", f"""WITH p AS (SELECT vec_id, {_pal(0)} AS a, {_pal(32)} AS b FROM embeddings)
 SELECT vec_id, round(greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), 1 - ({_near('a', 'b')} + {_near('b', 'a')}) / 2 / sqrt(CAST(195075 AS DOUBLE)))), 4) AS color_similarity, CAST(0 AS DOUBLE) AS without_reference FROM p""")
 
 TYPE = "CASE " + " ".join(
@@ -374,7 +374,7 @@ def isin_(e: str, options) -> str:
     return o.isin(e, options)
 
 
-add("q_intent", f"SELECT q_id, {intent('text')} AS intent FROM questions")
+add("q_intent", f"SELECT q_id, {intent('text')} AS intent FROM messages")
 
 RULE_VALUES = ", ".join(
     f"({i}, {q(r['rule_id'])}, {q(r['declaration_name'])}, {q(r['description'])}, {q(r['official_legal_reference'])}, {q(r['english_text'])}, "

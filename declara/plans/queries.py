@@ -729,17 +729,17 @@ def q_brand_registry(spark, d):
 
 
 def _palette(prefix: int):
-    """Three colours taken from an embedding."""
+    """Eleven colours taken from one half of an embedding, all of its 32 numbers."""
     def channel(i):
         return F.floor(F.abs(F.get("embedding", F.lit(i)).cast("double")) * 1000).cast("int") % 256
-    return F.array(*[F.array(*[channel(prefix + 3 * k + j) for j in range(3)]) for k in range(3)])
+    return F.array(*[F.array(*[channel(prefix + (3 * k + j) % 32) for j in range(3)]) for k in range(11)])
 
 
 @query
 def q_palette(spark, d):
     """Colour similarity of two palettes per sample."""
     return table(spark, d, "embeddings").select(
-        "vec_id", palette_similarity(_palette(0), _palette(9)).alias("color_similarity"),
+        "vec_id", palette_similarity(_palette(0), _palette(32)).alias("color_similarity"),
         palette_similarity(_palette(0), F.array().cast("array<array<int>>")).alias("without_reference"))
 
 
@@ -763,7 +763,7 @@ def q_doc_index_totals(spark, d):
 
 @query
 def q_intent(spark, d):
-    return view(spark, d, "questions").select("q_id", se.intent(F.col("text")).alias("intent"))
+    return view(spark, d, "messages").select("q_id", se.intent(F.col("text")).alias("intent"))
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:

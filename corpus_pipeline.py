@@ -1,7 +1,7 @@
 """Corpus preparation in five stages, each a DataFrame of documents in and out.
 
 quality        documents whose quality score is below 0.3 go
-near_dedup     of every group of near-duplicates (five-word shingles) the document of the smallest id stays
+near_dedup     of every group of near-duplicates (five-word shingles, Jaccard 0.8 and more) the document of the smallest id stays
 pii            personal data in the texts is replaced by its kind
 mixing         sources are taken to their target weights; a document appears as often as it is taken
 packing        documents become pieces of sequences of at most 4096 tokens
@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declara.llm import mixing, packing, pii, quality, simhash
+from declara.llm import mixing, packing, pii, quality, simhash, similar
 from declara.session import shared_dir
 
 #: Rows score and predict as the registered quality query does.
@@ -36,7 +36,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs, shingle=5)
+    return simhash.deduplicated(docs, similar.similar_documents(docs))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,18 +38,23 @@ _LANES = np.arange(8) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """Signed 64-bit SimHash of the shingles of a whole text, repeats included."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of the shingles of a whole text in order, repeats included; none without words."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     if len(words) <= shingle:
         spans = [(0, len(joined))]
     else:
         spans = zip([0, *(ends[:-shingle] + 1).tolist()], ends[shingle - 1:].tolist())
-    hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in spans], dtype="<u8")
+    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in spans], dtype="<u8")
+
+
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """Signed 64-bit SimHash of the shingles of a whole text, repeats included."""
+    hashes = shingle_hashes(text, shingle)
     counts = np.zeros(2048, np.int64)
     for at in range(0, len(hashes), 65536):
         lanes = hashes[at:at + 65536].view(np.uint8).reshape(-1, 8) + _LANES
@@ -234,9 +239,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, rows["fp"] == classes["_fp"]).select("doc_id", "digest", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """One row of ``docs`` per component: that of the smallest id (then digest); null ids come last."""
-    found = near_duplicates(docs, **options)
+def deduplicated(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """One row of ``docs`` per component: that of the smallest id (then digest); null ids come last.
+
+    ``found`` has doc_id, digest and component_id of every row; by default those of ``near_duplicates``.
+    """
+    found = near_duplicates(docs) if found is None else found
     kept = (found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("k"))
             .select(F.col("k.doc_id").alias("_doc"), F.col("k.digest").alias("_digest")))
     keyed = docs.withColumn("_text_digest", F.xxhash64("text"))

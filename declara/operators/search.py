@@ -117,24 +117,71 @@ def _containing_tokens(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return probe.join(listed, "gram").filter(F.col("token").contains(F.col("word"))).select("word", "token").distinct()
 
 
-def keyword_search(questions: DataFrame, entries: DataFrame, top_k: int = 3, with_entry: bool = True) -> DataFrame:
+def _block_points(top_k: int, word_chunk: int = 1024):
+    """Best ``top_k`` entries of one block for every bag of another, by the product of words and points."""
+    def score(words: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        found = found[found["word"].isin(words["word"].unique())]
+        if words.empty or found.empty:
+            return pd.DataFrame({"bag": [], "entry_type": [], "entry_no": [], "raw_score": []})
+        vocabulary = pd.Index(found["word"].unique())
+        bag, bags = pd.factorize(words["bag"])
+        totals = words.groupby(bag)["total"].first().to_numpy()
+        # a fixed order makes equal scores come out the same on every run
+        entries = found[["entry_type", "entry_no"]].drop_duplicates().sort_values(
+            ["entry_type", "entry_no"], ascending=[False, True], ignore_index=True)
+        column = pd.MultiIndex.from_frame(entries).get_indexer(pd.MultiIndex.from_frame(found[["entry_type", "entry_no"]]))
+        asked, held = vocabulary.get_indexer(words["word"]), vocabulary.get_indexer(found["word"])
+        n, points = words["n"].to_numpy(), found["points"].to_numpy()
+        scores = np.zeros((len(bags), len(entries)), np.float32)  # whole numbers, far below 2 ** 24
+        for at in range(0, len(vocabulary), word_chunk):
+            here, there = (asked >= at) & (asked < at + word_chunk), (held >= at) & (held < at + word_chunk)
+            left = np.zeros((len(bags), word_chunk), np.float32)
+            left[bag[here], asked[here] - at] = n[here]
+            right = np.zeros((word_chunk, len(entries)), np.float32)
+            right[held[there] - at, column[there]] = points[there]
+            scores += left @ right
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :top_k]
+        best = np.take_along_axis(scores, order, axis=1).astype(float)
+        rows, ranks = np.nonzero(best > 0)
+        cols = order[rows, ranks]
+        return pd.DataFrame({"bag": bags[rows], "entry_type": entries["entry_type"].to_numpy()[cols],
+                             "entry_no": entries["entry_no"].to_numpy()[cols],
+                             "raw_score": best[rows, ranks] / (totals[rows] * 10.0 + 1e-5)})
+    return score
+
+
+def keyword_search(questions: DataFrame, entries: DataFrame, top_k: int = 3, with_entry: bool = True,
+                   block_rows: int = 2048) -> DataFrame:
     """Best ``top_k`` corpus entries per question (q_id, text): q_id, hit_rank, score, entry columns.
 
     Each word earns the points of the best place it occurs in; the sum is a share of the maximum.
-    Questions with the same words are scored once.  Only real matches are ever formed.  The corpus
-    is read twice, so hand in a stored table.  Without ``with_entry`` only the keys come back.
+    Questions with the same words are scored once.  Questions and entries are cut into blocks of
+    about ``block_rows``; every pair of blocks is one product of (question, word) with (word, entry) and
+    emits ``top_k`` rows per question, so matches before ranking are never rows.  The corpus is read
+    twice, so hand in a stored table.  Without ``with_entry`` only the keys come back.
     """
     asked = questions.select("q_id", F.array_sort(content_words(F.col("text"))).alias("ws")).filter(F.size("ws") > 0)
-    bagged = asked.select("q_id", F.array_join("ws", " ").alias("bag"), "ws")
+    bagged = asked.select("q_id", F.md5(F.array_join("ws", " ")).alias("bag"), "ws")
     bags = bagged.groupBy("bag").agg(F.first("ws").alias("ws"))
     words = bags.select("bag", F.size("ws").alias("total"), F.explode("ws").alias("word")).groupBy("bag", "total", "word").agg(
         F.count(F.lit(1)).alias("n"))
     postings = _postings(entries)
     pairs = _containing_tokens(words.select("word").distinct(), postings.select("token").distinct())
     points = F.greatest(F.when(F.col("word") == F.col("token"), F.col("whole")).otherwise(0.0), F.col("part"))
-    found = pairs.join(postings, "token").groupBy("word", "entry_type", "entry_no").agg(F.max(points).alias("points"))
-    scored = words.join(found.filter(F.col("points") > 0), "word").groupBy("bag", "entry_type", "entry_no").agg(
-        (F.sum(F.col("n") * F.col("points")) / (F.first("total") * 10.0 + 1e-5)).alias("raw_score"))
+    found = (pairs.join(postings, "token").groupBy("word", "entry_type", "entry_no").agg(F.max(points).alias("points"))
+             .filter(F.col("points") > 0))
+    q_blocks = max(1, -(-questions.count() // block_rows))
+    e_blocks = max(1, -(-entries.count() // block_rows))
+
+    def dealt(df: DataFrame, key: list[str], own: str, own_n: int, other: str, other_n: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(*key), F.lit(own_n)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
+
+    left = dealt(words, ["bag"], "qb", q_blocks, "eb", e_blocks)
+    fresh = found.toDF(*found.columns)  # own column identities: both sides hold the words
+    right = dealt(fresh, ["entry_type", "entry_no"], "eb", e_blocks, "qb", q_blocks)
+    scored = left.groupBy("qb", "eb").cogroup(right.groupBy("qb", "eb")).applyInPandas(
+        _block_points(top_k), "bag string, entry_type string, entry_no bigint, raw_score double")
     w = Window.partitionBy("bag").orderBy(F.desc("raw_score"), F.desc("entry_type"), F.asc("entry_no"))
     best = scored.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank") <= top_k)
     shown = best.withColumn("score", rounded(F.least(F.lit(1.0), F.col("raw_score")), 4)).drop("raw_score")

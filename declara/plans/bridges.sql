@@ -102,13 +102,6 @@ JOIN (SELECT label, min(vec_id) AS v FROM embeddings WHERE label < 8 GROUP BY la
 SELECT vec_id AS sample_id, label AS brand_id, embedding FROM embeddings;
 
 -- view: questions
-SELECT conv_id * 1000 + turn AS q_id,
-  CASE conv_id % 6 WHEN 0 THEN 'What is the MRP rule' WHEN 1 THEN 'How many total scans'
-    WHEN 2 THEN 'violation rate for net quantity rule' WHEN 3 THEN 'How to bake a cake'
-    WHEN 4 THEN 'country of origin for imported goods' ELSE substr(text, 1, 60) END AS text
-FROM conversations WHERE role = 'user';
-
--- view: messages
 SELECT conv_id * 1000 + turn AS q_id,
   concat(CASE conv_id % 6 WHEN 0 THEN 'What is the MRP rule ' WHEN 1 THEN 'How many total scans '
     WHEN 2 THEN 'violation rate for net quantity rule ' WHEN 3 THEN 'How to bake a cake '

@@ -1,20 +1,18 @@
-"""Documents alike in word shingles at a Jaccard similarity of 0.8 and more, found through Golay codewords of wide SimHashes.
-
-At Jaccard 0.8 about 15 of 100 SimHash bits differ, too many for exact search on 64 bits.  A wide fingerprint has 24
-lanes of 64 bits over the distinct shingles.  Lanes 1 to 23 are cut into 64 segments of 23 bits, each decoded to
-its nearest Golay codeword (index of 12 bits), which forgives errors.  Two segments next to each other on a ring
-(distance up to ``reach``) make a key, so a document has 64 * ``reach`` keys, and two alike meet if any two such
-segments decode alike.  Simulated, a pair of Jaccard 0.8 meets in 91 of 100 cases, one of 0.85 in 98, one of 0.9 in 99.9.
-
-1. Under each key, rows carry lane 0 only.  Rows with another one within ``loose`` bits of 64 go on.
-2. Those take their wide fingerprint along and are compared in full: alike if the bits that differ are no more than
-   expected at the similarity asked for (1,536 bits tell Jaccard 0.8 from 0.78 or 0.82 by one standard error).
-
-Inside a key, rows are compared with leaders: the first row not linked yet leads, is compared with all rows of the
-key, and so on.  Near copies of one text need one leader, so the work grows with their number, no pairs are formed,
-and only leaders are kept in memory between batches.  Rows come in another order under each key, so two rows that
-both follow other leaders under one key are compared under others.  Each distinct fingerprint has one row under each
-of its keys, so no key holds more than one in 64 * ``reach`` of all rows, whatever the group.
+"""Documents alike in word shingles at a Jaccard similarity of 0.8 and more: fingerprints propose, an exact join completes.
+
+Texts are sets of distinct shingles (64-bit hashes); equal sets are one node from the start.  Every link is confirmed
+by the exact Jaccard similarity of the two sets.
+
+1. Proposals.  A wide SimHash has 24 lanes of 64 bits over the set.  Lanes 1 to 23 are cut into 64 segments of 23 bits,
+   each decoded to its nearest Golay codeword (index of 12 bits), which forgives errors.  Two segments next to each
+   other on a ring (distance up to ``reach``) make a key.  Under a key, rows within ``loose`` bits of lane 0 of a
+   leader, then within the expected number of wide bits, are proposed: the first row not linked yet leads, so near
+   copies of one text need one leader and the work grows with their number.  Confirmed proposals give clusters.
+2. Completion.  Sets of Jaccard ``similarity`` and more share an element among the first ``n - ceil(similarity n) + 1``
+   of each, in any order that is the same for all sets (prefix filter).  The order puts shingles in rarely used hash
+   buckets first, so common lines are seldom in a prefix.  Sets of different clusters that share such an element, whose
+   sizes and places there leave room for enough overlap, are compared in full.  Pairs inside a cluster need no
+   comparison, so the classes are those of all pairs at ``similarity`` and more, from one word up.
 
 Defined results: null, empty and blank texts are alike; a text of fewer words than a shingle is one shingle; repeated
 rows and ids are members like others; an empty table gives no rows.
@@ -28,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from declara.llm import golay
-from declara.llm.graph import components, forest
+from declara.llm.graph import components
 from declara.llm.simhash import shingle_hashes
 from declara.session import stored
 
@@ -39,11 +38,25 @@ _OFFSETS = np.arange(LANES * 8) * 256
 _STEPS = (np.arange(LANES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 _WEIGHTS = 1 << np.arange(BITS)
+#: Shingles are ordered by the use of so many hash buckets.
+BUCKETS = 1 << 17
+
+
+def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """Distinct shingle hashes of a whole text, in order."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def _node(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxh64_intdigest(hashes.tobytes(), 7)).view(np.int64))
 
 
 def wide_fingerprint(text: bytes | None, shingle: int = 5) -> bytes:
     """SimHash of 24 lanes over the distinct shingles of a whole text; lane 0 takes the hashes as they are."""
-    hashes = np.unique(shingle_hashes(text, shingle))
+    return _wide(shingle_set(text, shingle))
+
+
+def _wide(hashes: np.ndarray) -> bytes:
     counts = np.zeros(LANES * 2048, np.int64)
     for at in range(0, len(hashes), 8192):
         lanes = hashes[at:at + 8192, None] + _STEPS
@@ -61,19 +74,23 @@ def most_bits(similarity: float) -> int:
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id, digest (xxhash64 of the text), fp (lane 0) and wide (binary) of every row."""
+    """doc_id, digest (xxhash64 of the text), node (of the shingle set), fp (lane 0) and wide (binary) of every row."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"),
                        F.col(text_col).cast("binary").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            wides = [wide_fingerprint(t.as_py(), shingle) for t in batch.column("text")]
+            nodes, wides = [], []
+            for t in batch.column("text"):
+                hashes = shingle_set(t.as_py(), shingle)
+                nodes.append(_node(hashes))
+                wides.append(_wide(hashes))
             lane = pa.array([int.from_bytes(w[:8], "little", signed=True) for w in wides], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), lane, pa.array(wides, pa.binary())],
-                                             names=["doc_id", "digest", "fp", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(nodes, pa.int64()), lane,
+                                              pa.array(wides, pa.binary())], names=["doc_id", "digest", "node", "fp", "wide"])
 
-    return slim.mapInArrow(run, f"doc_id {kind}, digest bigint, fp bigint, wide binary")
+    return slim.mapInArrow(run, f"doc_id {kind}, digest bigint, node bigint, fp bigint, wide binary")
 
 
 def _matrix(column: pa.Array, kind: str) -> np.ndarray:
@@ -153,33 +170,120 @@ def _candidates(key, fp, row, leader):
 
 
 def _links(key, node, row, leader):
-    u, v = forest(node[row], node[leader])
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    pairs = np.unique(np.stack([np.minimum(node[row], node[leader]), np.maximum(node[row], node[leader])], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["u", "v"])
 
 
-def links(spark: SparkSession, wides: DataFrame, similarity: float = 0.8, loose: int = 18, reach: int = 4) -> DataFrame:
-    """Edges u, v between alike rows of ``wides`` (node, fp, wide; distinct)."""
+def proposals(spark: SparkSession, wides: DataFrame, similarity: float = 0.8, loose: int = 18, reach: int = 4) -> DataFrame:
+    """Pairs u < v of nodes that fingerprints hold for alike, among ``wides`` (node, fp, wide; distinct)."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = wides.count()
-    order = F.col("fp").bitwiseXOR(F.shiftleft("key", 33))  # another order under each key
     parts = max(least, -(-n * SEGMENTS * reach // 4_000_000))
     filed = wides.select("wide").repartition(max(least, -(-n // 50_000))).mapInArrow(_filed(reach), "key bigint, fp bigint")
-    met = (filed.repartition(parts, "key").sortWithinPartitions("key", order)
+    met = (filed.repartition(parts, "key").sortWithinPartitions("key", "fp")
            .mapInArrow(_stream(loose, "fp", _candidates), "key bigint, fp bigint"))
     met = stored(met.distinct(), "met")
-    full = (met.join(wides, "fp").select("key", order.alias("place"), F.col("node").alias("fp"), "wide")
-            .repartition(max(least, -(-met.count() // 1_000_000)), "key").sortWithinPartitions("key", "place", "fp"))
-    return full.drop("place").mapInArrow(_stream(most_bits(similarity), "wide", _links), "u bigint, v bigint")
+    full = (met.join(wides, "fp").select("key", F.col("node").alias("fp"), "wide")
+            .repartition(max(least, -(-met.count() // 1_000_000)), "key").sortWithinPartitions("key", "fp"))
+    return full.mapInArrow(_stream(most_bits(similarity), "wide", _links), "u bigint, v bigint").filter("u != v").distinct()
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs u, v whose shingle sets have Jaccard ``similarity`` and more; ``rows`` has node and digest."""
+    pairs = stored(pairs, "pairs")
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    of_node = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest"))
+    texts = docs.select(F.xxhash64(text_col).alias("digest"), F.col(text_col).cast("binary").alias("text"))
+    texts = texts.join(of_node.select("digest"), "digest", "left_semi")
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            sets = {}
+            for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text")):
+                if digest not in seen:
+                    seen.add(digest)
+                    hashes = shingle_set(text.as_py(), shingle)
+                    sets[_node(hashes)] = hashes.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.int64()), pa.array(sets.values(), pa.list_(pa.int64()))],
+                                             names=["node", "set"])
+
+    sets = stored(texts.mapInArrow(run, "node bigint, set array<bigint>").dropDuplicates(["node"]), "sets")
+    one, two = sets.select(F.col("node").alias("u"), F.col("set").alias("a")), sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
+    shared = F.size(F.array_intersect("a", "b"))
+    return (pairs.join(one, "u").join(two, "v").select("u", "v", shared.alias("s"), (F.size("a") + F.size("b")).alias("n"))
+            .filter(F.col("s") >= similarity * (F.col("n") - F.col("s")) - 1e-9).select("u", "v"))
+
+
+def bucket_use(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
+    """How many shingles of all sets fall into each of the hash buckets."""
+    def run(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for t in batch.column("text"):
+                np.add.at(total, (shingle_set(t.as_py(), shingle) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+
+    counts = (docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "bucket bigint, n bigint")
+              .groupBy("bucket").agg(F.sum("n").alias("n")).toArrow())
+    use = np.zeros(BUCKETS, np.int64)
+    use[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    return use
+
+
+def prefixes(docs: DataFrame, text_col: str, shingle: int, similarity: float, use: np.ndarray) -> DataFrame:
+    """h, node, n (size of the set), place of the first elements of every set, in the order of ``use``."""
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            h, node, size, place = [], [], [], []
+            for t in batch.column("text"):
+                hashes = shingle_set(t.as_py(), shingle)
+                n, name = len(hashes), _node(hashes)
+                if not n or name in seen:
+                    continue
+                seen.add(name)
+                keep = n - math.ceil(similarity * n - 1e-9) + 1
+                order = np.argsort(use[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")[:keep]
+                h.append(hashes[order].view(np.int64))
+                node.append(np.full(keep, name, np.int64))
+                size.append(np.full(keep, n, np.int32))
+                place.append(np.arange(keep, dtype=np.int32))
+            if h:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (h, node, size, place)],
+                                                 names=["h", "node", "n", "place"])
+
+    return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "h bigint, node bigint, n int, place int")
+
+
+def across(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs u, v of different clusters that share an element of ``met`` and can overlap enough by size and place."""
+    placed = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("h")
+    left = stored(placed.join(mixed, "h", "left_semi"), "across")
+    x, y = left.alias("x"), left.alias("y")
+    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    fits = ((F.col("x.h") == F.col("y.h")) & (F.col("x.root") < F.col("y.root"))
+            & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
+            & (room * (1 + similarity) >= similarity * (F.col("x.n") + F.col("y.n")) - 1e-9))
+    return x.join(y, fits).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                       similarity: float = 0.8, reach: int = 4) -> DataFrame:
     """doc_id, digest, component_id (smallest id among all that links reach) of every row."""
     spark = docs.sparkSession
-    rows = stored(wide_fingerprints(docs, id_col, text_col, shingle).withColumn("node", F.xxhash64("wide")), "wide")
-    wides = stored(rows.groupBy("node", "fp", "wide").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = components(links(spark, wides.select("node", "fp", "wide"), similarity, reach=reach))
+    rows = stored(wide_fingerprints(docs, id_col, text_col, shingle), "wide")
+    wides = stored(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("wide").alias("wide")), "distinct")
+    near = components(confirmed(proposals(spark, wides.select("node", "fp", "wide"), similarity, reach=reach),
+                                rows, docs, text_col, shingle, similarity))
+    parts = prefixes(docs, text_col, shingle, similarity, bucket_use(docs, text_col, shingle))
+    shared = (parts.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("h"))
+    met = stored(parts.join(stored(shared, "shared"), "h", "left_semi").distinct(), "prefixes")
+    far = stored(confirmed(across(met, near, similarity), rows, docs, text_col, shingle, similarity), "far")
+    roots = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).union(far))
     placed = (wides.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = placed.join(lowest, "root").select("node", "component_id").distinct()
+    classes = placed.join(lowest, "root").select("node", "component_id")
     return rows.join(classes, "node").select("doc_id", "digest", "component_id")

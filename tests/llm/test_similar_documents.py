@@ -85,3 +85,32 @@ def test_leaders_over_batches():
                     group[member] = one
         assert len({id(g) for g in group.values()}) == len(centres)
         assert set(group) == set(fps[key == k].tolist())
+
+
+def test_classes_are_those_of_exact_jaccard(spark):
+    """Texts of one word up, with pairs just above and just below 0.8."""
+    rnd = random.Random(5)
+    texts = ["one", "One", "two", "a b c d e", "a b c d e f", None]
+    for length in (8, 9, 12, 13, 14, 15, 24, 25, 40, 49, 50, 60, 90, 150, 400):
+        for _ in range(4):
+            words = [rnd.choice(VOCABULARY) for _ in range(length)]
+            texts.append(" ".join(words))
+            texts.append(" ".join([*words, "tail"]))
+            for share in (0.018, 0.022, 0.026, 0.03):
+                near = list(words)
+                for at in rnd.sample(range(length), max(1, round(length * share))):
+                    near[at] = f"x{rnd.randrange(99)}"
+                texts.append(" ".join(near))
+            for drop in (round(length * 0.18), round(length * 0.2), round(length * 0.22)):
+                texts.append(" ".join(words[drop:]))
+    rows = spark.createDataFrame([(i, t, "x", "x", 1, "x") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    found = {r.doc_id: r.component_id for r in similar.similar_documents(rows).collect()}
+    alike, borderline = {i: i for i in range(len(texts))}, 0
+    for i in range(len(texts)):
+        for j in range(i):
+            likeness = _jaccard(texts[i], texts[j])
+            borderline += 0.78 <= likeness < 0.82
+            if likeness >= 0.8:
+                low, high = sorted((alike[i], alike[j]))
+                alike = {k: low if v == high else v for k, v in alike.items()}
+    assert borderline > 20 and found == alike

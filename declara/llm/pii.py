@@ -30,7 +30,7 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
 }
 HINTS = {
-    "email": r"@[A-Za-z0-9]",
+    "email": r"@[A-Za-z0-9-]",
     "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]",
     "card": r"[0-9](?:[ -]?[0-9]){12}",
     "phone": r"\+[0-9]",

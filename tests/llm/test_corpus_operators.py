@@ -86,6 +86,14 @@ def test_personal_data_is_found_and_hidden(spark):
     assert clean[8].text == "[EMAIL] " * 700 and clean[8].n_chars == 8 * 700
 
 
+def test_email_whose_domain_starts_with_a_hyphen(spark):
+    texts = ["write x@-foo.com now", "x@-foo.com and a@b.co", "x@- .com"]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in pii.find_personal_data(given).collect():
+        assert [(s.kind, s.start, s.end) for s in r.spans] == base_pii(texts[r.doc_id]), texts[r.doc_id]
+    assert "foo" not in " ".join(r.text for r in pii.redact(given).collect())
+
+
 def test_personal_data_of_nothing(empty):
     assert pii.find_personal_data(empty).count() == 0 and pii.redact(empty).columns == empty.columns
 

@@ -128,6 +128,56 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_notices_inside_longer_text(spark):
+    gpl = dict((n, t) for n, t in licenses.TEMPLATES[:7])["GPL-3.0"]
+    wrapped = gpl.replace(" it under", "\nit under").replace(" as published", "\nas published").replace(" either", "\neither")
+    given = {
+        0: ("This project is released under the MIT License. See LICENSE for details.", "MIT", 1.0, 1),
+        1: ("Copyright 2024 Example Ltd. All rights reserved.", "Proprietary", 1.0, 1),
+        2: (" ".join(f"w{i}" for i in range(40)) + f" {wrapped} And then many\nmore words that go on after it.", "GPL-3.0", 1.0, 1),
+        3: ("Plain words about a license\nand rights that nobody reserved.", None, None, 0),
+        4: ("All rights reserved.\nIt is released under the BSD 3-Clause License right here.", "BSD-3-Clause", 1.0, 2),
+        5: (" ".join(f"w{i}" for i in range(5000)) + " licensed under\nCC BY-SA 4.0 " + " ".join(f"v{i}" for i in range(5000)), "CC-BY-SA-4.0", 1.0, 1),
+        6: ("x " * 9 + "released under mit License " + "x " * 9, None, None, 0),
+        7: ("All rights reserved. " * 300, "Proprietary", 0.8, 1),
+        8: ("All rights reserved.\n\nAll rights reserved.", "Proprietary", 1.0, 2),
+    }
+    rows = spark.createDataFrame([(i, t[0]) for i, t in given.items()], "doc_id int, text string")
+    got = {r.doc_id: (r.license, r.dice, r.n_segments) for r in licenses.scan_licenses(rows).collect()}
+    assert got == {i: t[1:] for i, t in given.items()}
+
+
+def test_runs_are_those_of_brute_force(spark):
+    rnd = random.Random(8)
+    texts, alone = [], 0
+    for _ in range(60):
+        words = licenses.TEMPLATES[rnd.randrange(len(licenses.TEMPLATES))][1].split()
+        for _ in range(rnd.randrange(3)):
+            words[rnd.randrange(len(words))] = rnd.choice(["zzz", "the", "license", "zzz zzz"])
+        words = ["many", "other", "words"] * 4 + words + ["stand", "here", "too"] * 4
+        for _ in range(3):
+            words[rnd.randrange(len(words))] += "\n"
+        texts.append(" ".join(words))
+
+    def brute(text):
+        words, best = re.sub(r"[^a-z0-9]+", " ", text.lower()).split(), (0, 0)
+        for i, (_, notice) in enumerate(licenses.TEMPLATES):
+            own = set(licenses.template_bigrams(notice))
+            low, high = licenses.size_bounds(len(own), 0.8)
+            for a in range(len(words)):
+                for n in range(low, min(high, len(words) - a - 1) + 1):
+                    run = set(f"{x} {y}" for x, y in zip(words[a:a + n], words[a + 1:a + n + 1]))
+                    best = max(best, (2 * len(run & own) / (len(run) + len(own)), -i))
+        return (licenses.TEMPLATES[-best[1]][0], pytest.approx(best[0])) if best[0] >= 0.8 else (None, None)
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in licenses.scan_licenses(rows).collect():
+        if best_license(texts[r.doc_id]) is None:
+            assert (r.license, r.dice) == brute(texts[r.doc_id]), texts[r.doc_id]
+            alone += r.license is not None
+    assert alone > 10
+
+
 # secrets --------------------------------------------------------------------------------------
 
 def test_secret_base_spans():

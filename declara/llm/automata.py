@@ -112,12 +112,11 @@ class Automaton:
 class Background:
     """Character pairs of ordinary words, smoothed: what a string must be less like than like a format."""
 
-    def __init__(self, words: list[str], alphabet: int = 95):
+    def __init__(self, counts: dict[tuple[str, str], int], alphabet: int = 95):
+        """``counts`` of each character after each other; a word starts after a newline."""
         pairs: dict[str, dict[str, int]] = {}
-        for w in words:
-            for a, b in zip("\n" + w, w):
-                pairs.setdefault(a, {})
-                pairs[a][b] = pairs[a].get(b, 0) + 1
+        for (a, b), k in counts.items():
+            pairs.setdefault(a, {})[b] = k
         self._bits = {a: {b: math.log2((k + 1 / alphabet) / (sum(after.values()) + 1)) for b, k in after.items()}
                       for a, after in pairs.items()}
         self._unseen = {a: math.log2((1 / alphabet) / (sum(after.values()) + 1)) for a, after in pairs.items()}

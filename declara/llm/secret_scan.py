@@ -6,11 +6,12 @@ merging statistically compatible states of their prefix tree; every other long t
 texts is scored by its likelihood under each automaton against ordinary words of the corpus, and reported as
 ``format_<kind>`` where it gains at least ``accept`` bits per character.
 
-* One pass over the texts keeps base spans, candidates and a few ordinary words per document in a table of the
-  shared folder; learning and scoring read only that.
-* Learning uses a bounded sample: the ``train`` distinct labelled values of each kind (of at most ``longest``
-  characters) and the ``train`` words whose hash is smallest.  Only these reach the driver.  Search and scoring
-  cover all texts and all candidates.
+* A first pass over the texts keeps the values of base spans and counts the character pairs of all ordinary words (runs
+  without white space outside base spans that are letters only once punctuation around them is cut off).  The counts are added up by pair; characters
+  that no candidate holds count as one, so their table is bounded by the alphabet.  A second pass finds and scores.
+* The automata learn from a bounded sample: the ``train`` distinct labelled values of each kind (of at most ``longest``
+  characters) whose hash is smallest.  Only these and the table of pairs reach the driver.  Word statistics, search and
+  scoring cover all texts and all candidates.
 
 Defined results: null text is empty; positions count code points, ends are exclusive; without labelled values no
 span is added; repeated rows and null ids are kept; an empty table gives no rows.
@@ -19,8 +20,9 @@ span is added; repeated rows and null ids are kept; an empty table gives no rows
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_left
+from collections import Counter
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -35,13 +37,14 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+PLAIN = frozenset("\nABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+AROUND = ".,;:!?()[]{}<>\"'"
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ["assign", "access", "hex"]
 
-_SPANS = "kind array<string>, start array<bigint>, end array<bigint>"
-_TYPES = pa.schema([("kind", pa.list_(pa.string())), ("start", pa.list_(pa.int64())), ("end", pa.list_(pa.int64())),
-                    ("value", pa.list_(pa.string())), ("c_start", pa.list_(pa.int64())), ("c_end", pa.list_(pa.int64())),
-                    ("c_value", pa.list_(pa.string())), ("words", pa.list_(pa.string()))])
+_READ = pa.schema([("kind", pa.list_(pa.string())), ("value", pa.list_(pa.string())), ("pair", pa.list_(pa.string())),
+                   ("times", pa.list_(pa.int64()))])
+_FOUND = pa.schema([("kind", pa.list_(pa.string())), ("start", pa.list_(pa.int64())), ("end", pa.list_(pa.int64()))])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -70,24 +73,41 @@ def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[
     return out
 
 
+def word_pairs(texts: list[str]) -> Counter:
+    """Character pairs of all ordinary words of whole texts, each as often as it stands there."""
+    words: Counter = Counter()
+    for text in texts:
+        words.update(text.split())
+    plain: Counter = Counter()
+    for word, times in words.items():
+        word = word.strip(AROUND)
+        if word.isalpha():
+            plain[word] += times
+    pairs: Counter = Counter()
+    for word, times in plain.items():
+        if not PLAIN.issuperset(word):
+            word = "".join(c if c in PLAIN else "*" for c in word)
+        for a, b in zip("\n" + word, word):
+            pairs[a + b] += times
+    return pairs
+
+
 def _read(batches):
     for batch in batches:
-        rows = []
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            base = base_spans(text)
-            rest = candidates(text, base)
-            seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-            words = []
-            for i in range(4):  # ordinary words near four seeded places
-                at = (seed * (2 * i + 1) + 7919 * i) % (len(text) + 1)
-                words += [w for w in text[at:at + 64].split()[1:-1][:1] if w.isalpha()]
-            rows.append({"kind": [KINDS[b[1]] for b in base], "start": [b[0] for b in base], "end": [b[2] for b in base],
-                         "value": [b[3] for b in base], "c_start": [c[0] for c in rest], "c_end": [c[1] for c in rest],
-                         "c_value": [c[2] for c in rest], "words": words})
-        table = pa.Table.from_pylist(rows, _TYPES).combine_chunks()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *[_whole(table.column(n)) for n in _TYPES.names]], names=["doc_id", *_TYPES.names])
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        rows, plain = [], []
+        for text in texts:
+            base, at = base_spans(text), 0
+            if base:
+                rows.append({"kind": [KINDS[b[1]] for b in base], "value": [b[3] for b in base], "pair": [], "times": []})
+            for start, _, end, _ in base:
+                plain.append(text[at:max(at, start)])
+                at = max(at, end)
+            plain.append(text[at:])
+        pairs = word_pairs(plain)
+        rows.append({"kind": [], "value": [], "pair": list(pairs.keys()), "times": list(pairs.values())})
+        table = pa.Table.from_pylist(rows, _READ).combine_chunks()
+        yield pa.RecordBatch.from_arrays([_whole(table.column(n)) for n in _READ.names], names=_READ.names)
 
 
 def _whole(column: pa.ChunkedArray) -> pa.Array:
@@ -110,8 +130,9 @@ def learn(read: DataFrame, labelled: DataFrame | None = None, train: int = 1000,
         values = _smallest(short.filter(F.col("kind") == kind).select("value"), train)
         if values:
             models[kind] = Automaton(values)
-    words = _smallest(read.select(F.explode("words").alias("value")), train) if models else []
-    return models, Background(words)
+    pairs = (read.select(F.explode(F.arrays_zip("pair", "times")).alias("x")).groupBy("x.pair")
+             .agg(F.sum("x.times").alias("times")).collect()) if models else []
+    return models, Background({(r["pair"][0], r["pair"][1]): r["times"] for r in pairs})
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = 1.0,
@@ -119,34 +140,38 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id and ``spans``: kind, start, end of every secret, by start, then kind as listed, added kinds last."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
-    read = stored(slim.mapInArrow(_read, f"doc_id {id_type}, {_SPANS}, value array<string>, c_start array<bigint>, "
-                                         "c_end array<bigint>, c_value array<string>, words array<string>"), "secrets")
+    read = stored(slim.select("text").mapInArrow(_read, "kind array<string>, value array<string>, pair array<string>, "
+                                                        "times array<bigint>"), "secrets")
     models, background = learn(read, labelled, train)
 
     def score(batches):
+        @lru_cache(maxsize=1 << 16)
+        def format_of(token: str) -> str | None:
+            usual = background.bits(token)
+            need = accept * len(token)
+            if need + usual > 0:  # no likelihood is above 1
+                return None
+            gain, kind = max((m.bits(token) - usual, k) for k, m in models.items())
+            return f"format_{kind}" if gain >= need else None
+
         for batch in batches:
-            kinds = []
-            for values in batch.column("c_value").to_pylist():
-                row = []
-                for v in values:
-                    usual = background.bits(v)
-                    gain, kind = max(((m.bits(v) - usual) / len(v), k) for k, m in models.items()) if models else (0.0, "")
-                    row.append(f"format_{kind}" if models and gain >= accept else None)
-                kinds.append(row)
-            names = [n for n in batch.schema.names if n != "c_value"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(kinds, pa.list_(pa.string()))],
-                                             names=[*names, "c_kind"])
-
-    scored = read.select("doc_id", "kind", "start", "end", "c_start", "c_end", "c_value").mapInArrow(
-        score, f"doc_id {id_type}, {_SPANS}, c_start array<bigint>, c_end array<bigint>, c_kind array<string>")
+            rows = []
+            for text in batch.column("text").to_pylist():
+                text = text or ""
+                base = base_spans(text)
+                found = [(KINDS[k], a, b) for a, k, b, _ in base]
+                if models:
+                    found += [(kind, a, b) for a, b, token in candidates(text, base) if (kind := format_of(token))]
+                rows.append({"kind": [f[0] for f in found], "start": [f[1] for f in found], "end": [f[2] for f in found]})
+            table = pa.Table.from_pylist(rows, _FOUND).combine_chunks()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[_whole(table.column(n)) for n in _FOUND.names]],
+                                             names=["doc_id", *_FOUND.names])
+
+    scored = slim.mapInArrow(score, f"doc_id {id_type}, kind array<string>, start array<bigint>, end array<bigint>")
 
     def order(kind: Column) -> Column:
         return F.array_position(F.array(*[F.lit(k) for k in [*KINDS, *(f"format_{k}" for k in KINDS)]]), kind)
 
-    def spans(kind: str, start: str, end: str) -> Column:
-        return F.transform(F.arrays_zip(F.col(kind).alias("kind"), F.col(start).alias("start"), F.col(end).alias("end")),
-                           lambda s: F.struct(s["start"].alias("start"), order(s["kind"]).alias("order"),
-                                              s["end"].alias("end"), s["kind"].alias("kind")))
-
-    added = F.filter(spans("c_kind", "c_start", "c_end"), lambda s: s["kind"].isNotNull())
-    return scored.select("doc_id", F.array_sort(F.concat(spans("kind", "start", "end"), added)).alias("spans"))
+    spans = F.transform(F.arrays_zip("kind", "start", "end"), lambda s: F.struct(
+        s["start"].alias("start"), order(s["kind"]).alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return scored.select("doc_id", F.array_sort(spans).alias("spans"))

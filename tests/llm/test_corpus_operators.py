@@ -209,6 +209,17 @@ def test_secrets_of_unseen_format(spark, docs, empty):
     assert secret_scan.find_secrets(docs).count() == docs.count() and secret_scan.find_secrets(empty).count() == 0
 
 
+def test_word_pairs_cover_whole_texts(spark):
+    texts = ["aa bb " * 3000 + "(quartz) x1y", "late été", None]
+    read = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    got = {}
+    for r in read.mapInArrow(secret_scan._read, "kind array<string>, value array<string>, pair array<string>, times array<bigint>").collect():
+        for pair, times in zip(r.pair, r.times):
+            got[pair] = got.get(pair, 0) + times
+    assert got["\na"] == got["aa"] == got["bb"] == 3000 and got["qu"] == got["tz"] == got["la"] == 1
+    assert got["\n*"] == got["*t"] == got["t*"] == 1 and "x1" not in got
+
+
 # near-duplicates ------------------------------------------------------------------------------
 
 def test_golay_code():

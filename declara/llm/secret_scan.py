@@ -2,9 +2,10 @@
 
 Base kinds, always reported: ``assign`` (a value given to a password, token, key), ``access`` (AKIA...), ``hex``
 (32 and more lower-case hex digits).  From labelled credentials a probabilistic automaton per kind is learned by
-merging statistically compatible states of their prefix tree; every other long token of letters and digits in the
-texts is scored by its likelihood under each automaton against ordinary words of the corpus, and reported as
-``format_<kind>`` where it gains at least ``accept`` bits per character.
+merging statistically compatible states of their prefix tree; every other token of ``SHORTEST`` and more characters, the
+least that the automata learn from, is scored by its likelihood under each automaton against ordinary words of the corpus.
+It is reported as ``format_<kind>`` where it gains at least ``accept`` bits per character, and ``FEW * accept`` bits in
+all: a short token must gain more per character.  What its characters are does not matter otherwise.
 
 * A first pass over the texts keeps the values of base spans and counts the character pairs of all ordinary words (runs
   without white space outside base spans that are letters only once punctuation around them is cut off).  The counts are added up by pair; characters
@@ -36,7 +37,8 @@ from declara.session import stored
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+SHORTEST, FEW = 8, 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % SHORTEST)
 PLAIN = frozenset("\nABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 AROUND = ".,;:!?()[]{}<>\"'"
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -60,7 +62,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Long tokens that hold a letter and a digit and touch no base span."""
+    """Tokens of ``SHORTEST`` and more characters that touch no base span."""
     starts = [t[0] for t in taken]
     reach = list(accumulate((t[2] for t in taken), max))
     out = []
@@ -68,8 +70,7 @@ def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[
         before = bisect_left(starts, m.end())
         if before and reach[before - 1] > m.start():
             continue
-        if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
-            out.append((m.start(), m.end(), m[0]))
+        out.append((m.start(), m.end(), m[0]))
     return out
 
 
@@ -148,7 +149,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         @lru_cache(maxsize=1 << 16)
         def format_of(token: str) -> str | None:
             usual = background.bits(token)
-            need = accept * len(token)
+            need = accept * max(len(token), FEW)
             if need + usual > 0:  # no likelihood is above 1
                 return None
             gain, kind = max((m.bits(token) - usual, k) for k, m in models.items())

@@ -220,6 +220,22 @@ def test_word_pairs_cover_whole_texts(spark):
     assert got["\n*"] == got["*t"] == got["t*"] == 1 and "x1" not in got
 
 
+def test_short_and_plain_credentials_are_scored(spark):
+    rnd = random.Random(4)
+
+    def made(letters, n):
+        return "".join(rnd.choice(letters) for _ in range(n))
+
+    letters = "bcdfgjkmpqvwxz"
+    rows = [(i, f"ordinary english words stand here password = {made(letters, 12)} and everything continues normally") for i in range(300)]
+    rows += [(1000 + i, f"ordinary words {made(letters, n)} continue") for i, n in enumerate((12, 14, 20, 24))]
+    rows += [(2000, "continues normally everything ordinary"), (2001, "english continue")]
+    found = {r.doc_id: [(s.kind, s.end - s.start) for s in r.spans] for r in secret_scan.find_secrets(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [found[1000 + i] for i in range(4)] == [[("format_assign", n)] for n in (12, 14, 20, 24)]
+    assert found[2000] == found[2001] == [] and all([k for k, _ in found[i]] == ["assign"] for i in range(300))
+
+
 # near-duplicates ------------------------------------------------------------------------------
 
 def test_golay_code():

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declara.llm import licenses, media, mixing, neighbours, packing, pii, quality, secret_scan, simhash, url_filter
+from declara.llm import (fim, langid, licenses, media, mixing, neighbours, packing, pii, quality, secret_scan, simhash, spelling,
+                         url_filter)
 from declara.llm.common import table
 
 #: The rules every page is judged by, and words that name unwanted domains.
@@ -79,8 +80,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.spans_text(spans).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_simhash, op4_neighbours, op5_media, op6_mixing,
-                                   op7_licenses, op8_quality, op9_pii, op10_secrets)}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents"), delete_every=97))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.coalesce(~langid.learnable(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_simhash, op4_neighbours, op5_media, op6_mixing, op7_licenses,
+                                   op8_quality, op9_pii, op10_secrets, op11_fim, op12_spelling, op13_language)}
 
 # SQL counterparts -----------------------------------------------------------------------------
 

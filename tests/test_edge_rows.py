@@ -73,7 +73,7 @@ def test_images_without_text_have_an_empty_result(spark):
 
 def test_low_threshold_in_a_crowded_image(spark):
     rows = [(1, "e", i, "t", 0.5, 20.0 * (i // 2) + 4 * (i % 2), 0.0, 20.0 * (i // 2) + 4 * (i % 2) + 10, 10.0) for i in range(40)]
-    clusters = fusion.cluster_regions(regions(spark, rows), "image_id", ["pos"], threshold=0.3, fold_limit=5)
+    clusters = fusion.cluster_regions(regions(spark, rows), "image_id", ["pos"], threshold=0.3)
     folded = fusion.cluster_regions(regions(spark, rows), "image_id", ["pos"], threshold=0.3)
     assert clusters.count() == folded.count() == 20
 

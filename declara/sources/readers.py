@@ -13,22 +13,23 @@ from declara.functions.base import rounded, strip
 from declara.functions.geometry import polygon
 from declara.operators.analytics import in_range
 
-MAX_RULES = 10_000
-
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rule catalogue from a JSON array; a missing file is an error.  ``rule_no`` is its order."""
+    """Rule catalogue from a JSON array; a missing file is an error.  ``rule_no`` is its order: one file is one split."""
     rows = spark.read.schema(schemas.RULES).json(path, multiLine=True, mode="FAILFAST")
     return rows.withColumn("rule_no", F.monotonically_increasing_id()).withColumns({
         "mandatory": F.coalesce("mandatory", F.lit(True)), "conditional": F.coalesce("conditional", F.lit(False)),
         "severity": F.coalesce("severity", F.lit("HIGH"))})
 
 
-def rules_for_plan(rules: DataFrame, limit: int = MAX_RULES) -> list[dict]:
-    """The catalogue as plan-time rules; it must be small, and that is checked."""
-    rows = rules.orderBy("rule_no").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rules cannot be planned as one projection")
+def rules_for_plan(rules: DataFrame, most: int = 500) -> list[dict]:
+    """The catalogue as plan-time rules: one expression each, so there must be few, which is checked.
+
+    A catalogue of any size is evaluated as a table, by ``operators.rules.evaluate_table``.
+    """
+    rows = rules.orderBy("rule_no").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules: evaluate them as a table")
     return [{k: v for k, v in r.asDict().items() if k != "rule_no"} for r in rows]
 
 

@@ -455,3 +455,39 @@ add("q_stream_scores", f"""WITH {o.rule_ctes('product_input', 'product_id')}, {o
 SELECT s.product_id, overall_status, compliance_score, passed, failed, {o.GUIDE} AS guidance_note FROM scored s JOIN product_input p ON p.product_id = s.product_id""")
 add("q_stream_first_deliveries", "SELECT DISTINCT id // 2 AS id FROM scan_records")
 
+
+# a scan comes with the delivery of its two years, every tenth one delivery later; marks are the greatest time before a delivery
+_ARRIVALS = """a AS (SELECT id, created_at, overall_status, compliance_score, (year(created_at) - 1992) // 2 + CASE WHEN id % 10 = 0 THEN 1 ELSE 0 END AS arrival FROM scan_records),
+m AS (SELECT n.arrival, max(a.created_at) - INTERVAL 2 DAY AS mark FROM (SELECT DISTINCT arrival FROM a) n JOIN a ON a.arrival < n.arrival GROUP BY 1)"""
+add("q_stream_corrected", f"""SELECT strftime(created_at, '%Y-%m-%d') AS date, count(*) AS total_scans, {GOOD} AS compliant_scans, count(*) - {GOOD} AS non_compliant_scans,
+  round(CAST({GOOD} * 100 AS DOUBLE) / count(*), 2) AS compliance_rate, {AVG} AS average_score FROM scan_records GROUP BY 1""")
+add("q_stream_late", f"""WITH {_ARRIVALS}
+SELECT id, strftime(created_at, '%Y-%m-%d') AS date FROM a JOIN m USING (arrival) WHERE CAST(created_at AS DATE) + INTERVAL 1 DAY <= mark""")
+add("q_stream_redeliveries", """WITH f AS (SELECT id, CAST(created_at AS TIMESTAMP) AS t, (year(created_at) - 1992) // 2 AS arrival FROM scan_records),
+l AS (SELECT id, t AS t0, arrival AS arrival0, t + INTERVAL 90 DAY AS t, (year(t + INTERVAL 90 DAY) - 1992) // 2 AS arrival FROM f WHERE id % 7 = 0),
+e AS (SELECT t, arrival FROM f UNION ALL SELECT t, arrival FROM l),
+m AS (SELECT n.arrival, max(e.t) - INTERVAL 2 DAY AS mark FROM (SELECT DISTINCT arrival FROM e) n JOIN e ON e.arrival < n.arrival GROUP BY 1)
+SELECT id, strftime(t, '%Y-%m-%d') AS date FROM f
+UNION ALL SELECT id, strftime(l.t, '%Y-%m-%d') FROM l JOIN m USING (arrival) WHERE arrival > arrival0 AND t0 + INTERVAL 2 DAY <= mark""")
+
+_N = len(c.RULES)
+_DATED = ", ".join(str(i) for i, r in enumerate(c.RULES) if r["validation_type"] in ("DATE_VALIDATION", "BEST_BEFORE_VALIDATION"))
+_IMPORTERS = ", ".join(str(i) for i, r in enumerate(c.RULES) if "IMPORTER" in r["rule_id"])
+_CUSTOM = f"""{o.rule_ctes('product_input', 'product_id')},
+l AS (SELECT n_nationkey AS k, n_nationkey % {_N + 2} AS n, 'Declaration of ' || n_name AS declaration, 'Local rule ' || n_name AS legal,
+  CASE n_nationkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS sev FROM nation),
+custom AS (SELECT product_id, n AS rule_no, rule_id, declaration, status, detected_value, reason, legal_reference, severity FROM checked
+UNION ALL SELECT product_id, k + {_N}, 'LOCAL_' || CASE WHEN l.n IN ({_IMPORTERS}) THEN 'IMPORTER_' ELSE '' END || k, l.declaration, status, detected_value,
+  replace(reason, legal_reference, legal), legal,
+  CASE WHEN (status = 'PASS' AND l.n IN ({_DATED})) OR reason = 'Rule is not applicable to this commodity category or configuration.' THEN sev ELSE severity END
+  FROM l JOIN checked c ON c.n = l.n
+UNION ALL SELECT product_id, k + {_N}, 'LOCAL_' || k, l.declaration,
+  CASE WHEN l.n = {_N + 1} THEN 'REQUIRES_HUMAN_VERIFICATION' WHEN length(coalesce(product_name, '')) >= CASE WHEN sev = 'HIGH' THEN 30 ELSE 20 END THEN 'PASS' ELSE 'WARNING' END,
+  CASE WHEN l.n = {_N} THEN product_name END,
+  CASE WHEN l.n = {_N} THEN 'Name of ' || length(coalesce(product_name, '')) || ' characters.' ELSE 'No automated validator registered for ''UNHEARD_OF''.' END, legal, sev
+  FROM l, product_input WHERE l.n >= {_N})"""
+add("q_custom_rules", f"""WITH {_CUSTOM}
+SELECT product_id, CAST(rule_no AS BIGINT) AS rule_no, rule_id, declaration, status, detected_value, reason, legal_reference, severity FROM custom""")
+add("q_custom_scores", f"""WITH {_CUSTOM}, {o.score_cte('product_id', 'custom')}
+SELECT product_id, total_checks, passed, failed, warnings, human_verification_required, not_applicable, compliance_score,
+  overall_status FROM scored""")

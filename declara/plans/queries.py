@@ -100,6 +100,48 @@ def q_guidance_from_results(spark, d):
     return ru.stored_guidance(scans, rows, "scan_id")
 
 
+def _local_rules(spark: SparkSession, d: str) -> DataFrame:
+    """A catalogue with rules of every nation: copies of built-in ones, one of a custom type and one of an unknown type."""
+    base = rd.builtin_rules(spark)
+    n = len(c.RULES)
+    number, name = F.col("n_nationkey"), F.col("n_name")
+    wanted = table(spark, d, "nation").withColumn("rule_no", (number % (n + 2)).cast("bigint"))
+    kind = (F.when(F.col("rule_no") == n, "NAME_LENGTH").when(F.col("rule_no") == n + 1, "UNHEARD_OF").otherwise(F.col("validation_type")))
+    importer = F.when(F.col("rule_id").contains("IMPORTER"), "IMPORTER_").otherwise("")
+    local = wanted.join(base, "rule_no", "left").withColumns({
+        "validation_type": kind, "rule_id": F.concat(F.lit("LOCAL_"), F.coalesce(importer, F.lit("")), number.cast("string")),
+        "declaration_name": F.concat(F.lit("Declaration of "), name), "legal_reference": F.concat(F.lit("Local rule "), name),
+        "severity": F.element_at(F.array(F.lit("HIGH"), F.lit("MEDIUM"), F.lit("LOW")), (number % 3 + 1).cast("int")),
+        "rule_no": (number + n).cast("bigint")})
+    return base.unionByName(local.select(base.columns))
+
+
+def _name_length(rule):
+    """Custom validator: the declared name is as long as the severity asks for."""
+    text, least = F.coalesce("product_name", F.lit("")), F.when(rule["severity"] == "HIGH", 30).otherwise(20)
+    ok = F.length(text) >= least
+    return ru.v.result(rule, F.when(ok, ru.v.PASS).otherwise(ru.v.WARNING), F.col("product_name"),
+                       F.concat(F.lit("Name of "), F.length(text).cast("string"), F.lit(" characters.")))
+
+
+def _custom_rows(spark: SparkSession, d: str) -> DataFrame:
+    return ru.evaluate_table(view(spark, d, "product_input", "part"), _local_rules(spark, d), "product_id", as_of=AS_OF,
+                             extra_validators={"NAME_LENGTH": _name_length})
+
+
+@query
+def q_custom_rules(spark, d):
+    """Every product against a catalogue table with local rules, a custom validator and an unknown type."""
+    return _custom_rows(spark, d).select("product_id", "rule_no", "rule_id", "declaration", "status", "detected_value", "reason",
+                                         "legal_reference", "severity")
+
+
+@query
+def q_custom_scores(spark, d):
+    """The roll-up of these rows."""
+    return ru.score_rows(_custom_rows(spark, d).select("product_id", "status", "severity"), "product_id")
+
+
 # ---------------------------------------------------------------------------------------------
 # text repair and extraction
 # ---------------------------------------------------------------------------------------------
@@ -860,3 +902,63 @@ def q_stream_first_deliveries(spark, d):
     """Arriving scans of which every second is a re-delivery."""
     scans = _arriving_scans(spark, d).withColumn("id", F.floor(F.col("id") / 2)).withColumn("created_at", F.lit(dt.datetime(2024, 1, 1)))
     return _drained(live.first_deliveries(scans).select("id"))
+
+
+def _arrival(when, lag):
+    """Number of the delivery a scan comes with: two years each, ``lag`` deliveries later."""
+    return (F.floor((F.year(when) - 1992) / 2) + lag).cast("int").alias("arrival")
+
+
+def _delivered(spark: SparkSession, rows: DataFrame, run, last: DataFrame | None = None) -> DataFrame:
+    """Sink of a stream whose rows (column ``arrival``) arrive one delivery after the other.
+
+    The stream stops after each delivery and goes on from its checkpoint with the next one.
+    """
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    plain = rows.drop("arrival")
+    numbers = [r[0] for r in rows.select("arrival").distinct().orderBy("arrival").collect()]
+    stream = None
+    for number in numbers:
+        now = rows.filter(F.col("arrival") == number).drop("arrival")
+        if last is not None and number == numbers[-1]:
+            now = now.unionByName(last)
+        now.write.mode("append").parquet(f"{folder}/in")
+        stream = stream or run(spark.readStream.schema(plain.schema).parquet(f"{folder}/in"))
+        with live.rocks_state(spark):
+            live.run_available(stream, f"{folder}/out", f"{folder}/state")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def _late_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of the trend of all scans; every tenth scan comes one delivery late, and the feed ends with a mark."""
+    scans = view(spark, d, "scan_records").withColumn("created_at", F.col("created_at").cast("timestamp")).select(
+        "id", "created_at", "overall_status", "compliance_score", _arrival("created_at", F.when(F.col("id") % 10 == 0, 1).otherwise(0)))
+    end = scans.agg((F.max("created_at") + F.expr("INTERVAL 4 DAYS")).alias("created_at")).select(
+        *[F.col(n) if n == "created_at" else F.lit(None).cast(scans.schema[n].dataType).alias(n) for n in scans.columns if n != "arrival"])
+    return _delivered(spark, scans, lambda stream: live.trend_changes(stream, shares=2), end)
+
+
+@query
+def q_stream_corrected(spark, d):
+    """Daily trend of scans of which every tenth arrives years late: closed days and their corrections add up to the batch trend."""
+    return live.corrected_trend(_late_feed(spark, d)).drop("revisions")
+
+
+@query
+def q_stream_late(spark, d):
+    """The scans of that feed that arrived after their day was closed."""
+    return live.late_scans(_late_feed(spark, d)).select("id", F.date_format("created_at", "yyyy-MM-dd").alias("date"))
+
+
+@query
+def q_stream_redeliveries(spark, d):
+    """Scans of which every third is delivered twice at once and every seventh again after 90 days.
+
+    The second copy is dropped; after 90 days the key is forgotten, unless both come with one delivery.
+    """
+    scans = view(spark, d, "scan_records").select("id", F.col("created_at").cast("timestamp").alias("created_at"))
+    again = scans.filter(F.col("id") % 3 == 0)
+    much_later = scans.filter(F.col("id") % 7 == 0).withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 90 DAYS"))
+    rows = scans.unionByName(again).unionByName(much_later)
+    return _delivered(spark, rows.select("*", _arrival("created_at", F.lit(0))), live.first_deliveries).select(
+        "id", F.date_format("created_at", "yyyy-MM-dd").alias("date"))

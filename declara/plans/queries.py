@@ -278,7 +278,7 @@ def q_extraction_insight(spark, d):
 
 
 def _regions(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "ocr_regions")
+    return view(spark, d, "ocr_regions", "lineitem")
 
 
 _REGION_KEYS = ["image_id", "engine", "pos", "partkey", "suppkey"]

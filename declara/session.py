@@ -44,6 +44,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def ranged(df: DataFrame, *order) -> DataFrame:
+    """Rows dealt by ranges of ``order`` and sorted inside each, over as many partitions as a shuffle has."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """The same rows read back from a table in the shared folder.
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from declara.llm.common import WORD
+from declara.llm.common import WORD, fresh
 from declara.session import stored
 
 
@@ -119,12 +119,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, to the nearest whole number of times."""
+    """The rows of ``docs`` as often as the mix takes them, to the nearest whole number of times.
+
+    Rows of one id and text are one document: what is taken of them together is given out by one of them.
+    """
     taken = mix(docs, **options).filter("size > 0 and taken > 0").groupBy("doc_id", "digest").agg(
         F.sum("taken").alias("taken"), F.max("size").alias("size"))
-    copies = taken.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"),
-                          F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).filter("_copies > 0")
-    keyed = docs.withColumn("_text_digest", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_digest"])
-    return (keyed.join(copies, keyed["doc_id"].eqNullSafe(copies["_doc"]) & (F.col("_text_digest") == F.col("_digest")))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    who, what, times, own, one = fresh(docs, "_doc", "_digest", "_copies", "_text_digest", "_copy")
+    copies = taken.select(F.col("doc_id").alias(who), F.col("digest").alias(what),
+                          F.round(F.col("taken") / F.col("size")).cast("int").alias(times)).filter(F.col(times) > 0)
+    keyed = docs.withColumn(own, F.xxhash64("text")).dropDuplicates(["doc_id", own])
+    return (keyed.join(copies, keyed["doc_id"].eqNullSafe(copies[who]) & (F.col(own) == F.col(what)))
+            .withColumn(one, F.explode(F.sequence(F.lit(1), F.col(times))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

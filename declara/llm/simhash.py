@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from declara.llm import golay
+from declara.llm.common import fresh
 from declara.llm.graph import components, forest
 from declara.session import stored
 
@@ -245,8 +246,9 @@ def deduplicated(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     ``found`` has doc_id, digest and component_id of every row; by default those of ``near_duplicates``.
     """
     found = near_duplicates(docs) if found is None else found
+    who, what, own = fresh(docs, "_doc", "_digest", "_text_digest")
     kept = (found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("k"))
-            .select(F.col("k.doc_id").alias("_doc"), F.col("k.digest").alias("_digest")))
-    keyed = docs.withColumn("_text_digest", F.xxhash64("text"))
-    return (keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_text_digest") == F.col("_digest")), "left_semi")
-            .dropDuplicates(["doc_id", "_text_digest"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+            .select(F.col("k.doc_id").alias(who), F.col("k.digest").alias(what)))
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    return (keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col(who)) & (F.col(own) == F.col(what)), "left_semi")
+            .dropDuplicates(["doc_id", own]).select(*[F.col(f"`{c}`") for c in docs.columns]))

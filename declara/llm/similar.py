@@ -6,8 +6,9 @@ by the exact Jaccard similarity of the two sets.
 1. Proposals.  A wide SimHash has 24 lanes of 64 bits over the set.  Lanes 1 to 23 are cut into 64 segments of 23 bits,
    each decoded to its nearest Golay codeword (index of 12 bits), which forgives errors.  Two segments next to each
    other on a ring (distance up to ``reach``) make a key.  Under a key, rows within ``loose`` bits of lane 0 of a
-   leader, then within the expected number of wide bits, are proposed: the first row not linked yet leads, so near
-   copies of one text need one leader and the work grows with their number.  Confirmed proposals give clusters.
+   leader, then within the expected number of wide bits, are proposed: the first row not linked yet leads, rows come
+   in one order under all keys, and a row is linked once under a key.  So there are at most 64 ``reach`` proposals per
+   row, however large a group of near copies is.  Confirmed proposals give clusters.
 2. Completion.  Sets of Jaccard ``similarity`` and more share an element among the first ``n - ceil(similarity n) + 1``
    of each, in any order that is the same for all sets (prefix filter).  The order puts shingles in rarely used hash
    buckets first, so common lines are seldom in a prefix.  Sets of different clusters that share such an element, whose
@@ -118,7 +119,10 @@ def _filed(reach: int):
 
 
 def led(key: np.ndarray, bits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (row, leader) inside the groups of sorted keys, and which rows lead.  ``bits`` has one row of words each."""
+    """Links (row, leader) inside the groups of sorted keys, and which rows lead.  ``bits`` has one row of words each.
+
+    The first row that is not linked yet leads; a row is linked once, so there are fewer links than rows.
+    """
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     free, leads = np.ones(len(key), bool), np.zeros(len(key), bool)
@@ -134,10 +138,11 @@ def led(key: np.ndarray, bits: np.ndarray, most: int) -> tuple[np.ndarray, np.nd
         leader = np.zeros(len(starts), np.int64)
         leader[which] = rows[open_rows[first]]
         leads[leader[which]], free[leader[which]] = True, False
-        for at in range(0, total, 500_000):
-            x = rows[at:at + 500_000]
-            y = leader[group[at:at + 500_000]]
-            close = (np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= most) & (x != y)
+        asked = np.flatnonzero(free[rows])
+        for at in range(0, len(asked), 500_000):
+            x = rows[asked[at:at + 500_000]]
+            y = leader[group[asked[at:at + 500_000]]]
+            close = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= most
             free[x[close]] = False
             rows_out.append(x[close])
             leaders_out.append(y[close])
@@ -147,9 +152,12 @@ def led(key: np.ndarray, bits: np.ndarray, most: int) -> tuple[np.ndarray, np.nd
 
 
 def _stream(most: int, words: str, emit):
-    """Rows sorted by key, led batch by batch; the leaders of the last key meet its rows of the next batch."""
+    """Rows sorted by key, led batch by batch; the leaders of the last key meet its rows of the next batch.
+
+    ``emit`` gets a set of its own per task, in which it may note what it has put out.
+    """
     def run(batches):
-        held = None
+        held, sent = None, set()
         for batch in batches:
             if not len(batch):
                 continue
@@ -160,21 +168,27 @@ def _stream(most: int, words: str, emit):
             row, leader, leads = led(key, bits, most)
             keep = leads & (key == key[-1])
             held = key[keep], fp[keep], bits[keep]
-            yield emit(key, fp, row, leader)
+            yield emit(key, fp, row, leader, sent)
     return run
 
 
-def _candidates(key, fp, row, leader):
+def _candidates(key, fp, row, leader, sent):
     rows = np.unique(np.concatenate([row, leader]))
     return pa.RecordBatch.from_arrays([pa.array(key[rows], pa.int64()), pa.array(fp[rows], pa.int64())], names=["key", "fp"])
 
 
-def _links(key, node, row, leader):
-    pairs = np.unique(np.stack([np.minimum(node[row], node[leader]), np.maximum(node[row], node[leader])], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["u", "v"])
+def _links(key, node, row, leader, sent):
+    """Links of smaller and larger node; one that several keys of a task give is put out once."""
+    pairs = np.stack([np.minimum(node[row], node[leader]), np.maximum(node[row], node[leader])], axis=1)
+    fresh = list(dict.fromkeys(p for p in map(tuple, pairs.tolist()) if p not in sent))
+    if len(sent) > 1_000_000:
+        sent.clear()
+    sent.update(fresh)
+    u, v = zip(*fresh) if fresh else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def proposals(spark: SparkSession, wides: DataFrame, similarity: float = 0.8, loose: int = 18, reach: int = 4) -> DataFrame:
+def proposals(spark: SparkSession, wides: DataFrame, similarity: float = 0.8, loose: int = 18, reach: int = 1) -> DataFrame:
     """Pairs u < v of nodes that fingerprints hold for alike, among ``wides`` (node, fp, wide; distinct)."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = wides.count()
@@ -257,21 +271,32 @@ def prefixes(docs: DataFrame, text_col: str, shingle: int, similarity: float, us
     return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "h bigint, node bigint, n int, place int")
 
 
-def across(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs u, v of different clusters that share an element of ``met`` and can overlap enough by size and place."""
+def across(met: DataFrame, roots: DataFrame, similarity: float, block: int = 1000) -> DataFrame:
+    """Pairs u, v of different clusters that share an element of ``met`` and can overlap enough by size and place.
+
+    Sets that can be alike differ by one class of size at most, so an element and a class are the key.  Where more than
+    ``block`` sets stand under a key, one side is dealt to blocks and the other stands in each: a common line of
+    very many short texts spreads over many tasks.
+    """
     placed = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("h")
-    left = stored(placed.join(mixed, "h", "left_semi"), "across")
-    x, y = left.alias("x"), left.alias("y")
+    size = F.floor(F.log("n") / math.log(1 / similarity) + 1e-9).cast("int")
+    left = stored(placed.join(mixed, "h", "left_semi").withColumn("class", size), "across")
+    near = left.withColumn("class", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])))
+    heavy = (near.groupBy("h", "class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    x = left.join(heavy, ["h", "class"], "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).alias("x")
+    y = near.join(heavy, ["h", "class"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
     room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    fits = ((F.col("x.h") == F.col("y.h")) & (F.col("x.root") < F.col("y.root"))
+    fits = ((F.col("x.h") == F.col("y.h")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.block") == F.col("y.block"))
+            & (F.col("x.root") < F.col("y.root"))
             & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
             & (room * (1 + similarity) >= similarity * (F.col("x.n") + F.col("y.n")) - 1e-9))
     return x.join(y, fits).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-                      similarity: float = 0.8, reach: int = 4) -> DataFrame:
+                      similarity: float = 0.8, reach: int = 1) -> DataFrame:
     """doc_id, digest, component_id (smallest id among all that links reach) of every row."""
     spark = docs.sparkSession
     rows = stored(wide_fingerprints(docs, id_col, text_col, shingle), "wide")

@@ -73,7 +73,7 @@ def test_leaders_over_batches():
     batches = [pa.RecordBatch.from_arrays([pa.array(key[at:at + 64]), pa.array(fps[at:at + 64])], names=["key", "fp"])
                for at in range(0, 3000, 64)]
     links = []
-    for out in similar._stream(2, "fp", lambda k, f, row, leader: (k[row], f[row], f[leader]))(iter(batches)):
+    for out in similar._stream(2, "fp", lambda k, f, row, leader, sent: (k[row], f[row], f[leader]))(iter(batches)):
         links += list(zip(*(c.tolist() for c in out)))
     for k in (7, 8, 9):
         group = {}
@@ -114,3 +114,36 @@ def test_classes_are_those_of_exact_jaccard(spark):
                 low, high = sorted((alike[i], alike[j]))
                 alike = {k: low if v == high else v for k, v in alike.items()}
     assert borderline > 20 and found == alike
+
+
+def test_a_row_is_linked_once_per_key():
+    """Near copies of one text: under a key every row leads or has one link, whatever their number."""
+    for n in (100, 1000, 4000):
+        centre = RND.getrandbits(64)
+        bits = np.array([[centre ^ (1 << RND.randrange(64)) ^ (1 << RND.randrange(64))] for _ in range(n)], np.uint64)
+        key = np.sort(np.array([RND.choice([3, 4, 4, 4]) for _ in range(n)], np.int64))
+        for most in (1, 3, 64):
+            row, leader, leads = similar.led(key, bits, most)
+            assert len(row) == len(set(row.tolist())) and len(row) + leads.sum() == n
+            assert (key[row] == key[leader]).all() and leads[leader].all()
+            assert (np.bitwise_count(bits[row] ^ bits[leader]).sum(axis=1) <= most).all()
+
+
+def test_common_lines_are_split_into_blocks(spark):
+    """Short posts that share a line: the pairs found are those of all sets, block by block."""
+    met = spark.createDataFrame([(7, i, 4 + i % 3, i % 2) for i in range(60)] + [(8, i, 5, 0) for i in range(10)], "h bigint, node bigint, n int, place int")
+    roots = spark.createDataFrame([(i, i - i % 2) for i in range(20)], "node bigint, root bigint")
+    pairs = [{tuple(r) for r in similar.across(met, roots, 0.5, block).collect()} for block in (1000, 7)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 1000
+
+
+def test_clashing_columns(spark):
+    from declara.llm import mixing
+
+    names = ["_doc", "_digest", "_text_digest", "_low", "_copies", "_copy", "__doc"]
+    texts = ["a b c d e f g", "A b c d e f g", "one two three", None, "", "a b c d e f g"]
+    rows = spark.createDataFrame([(i % 5, t, "s", *["x"] * len(names)) for i, t in enumerate(texts)],
+                                 "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = simhash.deduplicated(rows, similar.similar_documents(rows))
+    assert kept.columns == rows.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+    assert mixing.mixed_documents(rows).columns == rows.columns

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from declara.llm import mixing, packing, pii, quality, simhash, similar
+from declara.llm.common import fresh
 from declara.session import shared_dir
 
 #: Rows score and predict as the registered quality query does.
@@ -26,28 +27,35 @@ LEAST_QUALITY = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text scores ``LEAST_QUALITY`` or more; learned from the labels of documents at hand."""
+    """Rows whose text scores ``LEAST_QUALITY`` or more; learned from the labels of documents at hand.
+
+    A null text is scored as an empty one; rows of one id and text are judged alike and all kept or all dropped.
+    """
     scores = quality.score_documents(quality.describe(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    low = scores.filter(F.col("score") < LEAST_QUALITY).select(
-        F.col("doc_id").alias("_doc"), F.col("digest").alias("_low")).distinct()
-    keyed = docs.withColumn("_digest", F.xxhash64("text"))
-    return (keyed.join(low, keyed["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_digest") == F.col("_low")), "left_anti")
+    who, what, own = fresh(docs, "_doc", "_low", "_digest")
+    low = scores.filter(F.col("score") < LEAST_QUALITY).select(F.col("doc_id").alias(who), F.col("digest").alias(what)).distinct()
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    return (keyed.join(low, keyed["doc_id"].eqNullSafe(F.col(who)) & (F.col(own) == F.col(what)), "left_anti")
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every class of near-duplicates the row of the smallest id; null, empty and blank texts are one class."""
     return simhash.deduplicated(docs, similar.similar_documents(docs))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with personal data in the texts replaced by its kind; a null text stays null."""
     return pii.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix of their sources takes them; texts without a word are not taken."""
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, placed in sequences; a null text is an empty document."""
     return packing.pack(packing.pieces(docs))
 
 

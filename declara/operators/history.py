@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from declara.functions.base import filled, rounded
@@ -57,6 +57,36 @@ def scan_page(scans: DataFrame, limit: int = 50, offset: int = 0, **filters) ->
     return filter_scans(scans, **filters).orderBy(F.desc("created_at"), F.asc("id")).offset(offset).limit(limit)
 
 
+def deep_page(scans: DataFrame, limit: int = 50, offset: int = 0, at_once: int = 100_000, **filters) -> DataFrame:
+    """The same page however far back it lies, without sorting what stands before it.
+
+    Scans are counted per day, then, inside the days that hold the page, per hour, minute and second, until at most
+    ``at_once`` rows of these ranges are left; only they are read and sorted.  The ranges that hold a page are ``limit`` at most.
+    Scans without a time come last.
+    """
+    chosen, skip = filter_scans(scans, **filters), offset
+    timed = chosen.filter(F.col("created_at").isNotNull())
+    for unit in ("day", "hour", "minute", "second"):
+        start = F.date_trunc(unit, F.col("created_at").cast("timestamp"))
+        counted = timed.groupBy(start.alias("s")).agg(F.count(F.lit(1)).alias("n"))
+        after = F.sum("n").over(Window.orderBy(F.desc("s")))
+        held = (counted.withColumn("after", after).filter((F.col("after") > skip) & (F.col("after") - F.col("n") < skip + limit))
+                .orderBy(F.desc("s")).collect())
+        if not held:  # the page lies among the scans without a time, if anywhere
+            before = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            return chosen.filter(F.col("created_at").isNull()).orderBy("id").offset(max(0, skip - before)).limit(limit)
+        first, last = held[-1]["s"], held[0]["s"]
+        total, skip = held[-1]["after"] - (held[0]["after"] - held[0]["n"]), skip - (held[0]["after"] - held[0]["n"])
+        timed = timed.filter((start >= F.lit(first)) & (start <= F.lit(last)))
+        if total <= at_once:
+            break
+    here = total - skip
+    if here >= limit:
+        return timed.orderBy(F.desc("created_at"), F.asc("id")).offset(skip).limit(limit)
+    untimed = chosen.filter(F.col("created_at").isNull())
+    return timed.unionByName(untimed).orderBy(F.desc_nulls_last("created_at"), F.asc("id")).offset(skip).limit(limit)
+
+
 def scan_total(scans: DataFrame, **filters) -> DataFrame:
     """Number of scans behind a filtered page, as one row."""
     return filter_scans(scans, **filters).agg(F.count(F.lit(1)).alias("total"))

@@ -224,7 +224,7 @@ def _boosts(questions: pd.DataFrame, entries: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def _block_search(top_k: int):
+def _block_search(top_k: int, others_only: bool):
     def search(questions: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         if questions.empty or entries.empty:
             return pd.DataFrame({"q_id": [], "entry_type": [], "entry_no": [], "raw_score": []})
@@ -233,19 +233,26 @@ def _block_search(top_k: int):
         q = np.stack(questions["embedding"].to_numpy()).astype(float)
         e = np.stack(entries["embedding"].to_numpy()).astype(float)
         scores = q @ e.T + _boosts(questions, entries)
+        if others_only:
+            scores[questions["q_id"].to_numpy()[:, None] == entries["entry_no"].to_numpy()] = -np.inf
         k = min(top_k, scores.shape[1])
         order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         rows = np.repeat(np.arange(len(questions)), k)
         cols = order.ravel()
+        found = np.isfinite(scores[rows, cols])
+        rows, cols = rows[found], cols[found]
         return pd.DataFrame({
             "q_id": questions["q_id"].to_numpy()[rows], "entry_type": entries["entry_type"].to_numpy()[cols],
             "entry_no": entries["entry_no"].to_numpy()[cols], "raw_score": scores[rows, cols]})
     return search
 
 
-def vector_search(questions: DataFrame, entries: DataFrame, top_k: int = 3, block_rows: int = 4096) -> DataFrame:
+def vector_search(questions: DataFrame, entries: DataFrame, top_k: int = 3, block_rows: int = 4096,
+                  others_only: bool = False) -> DataFrame:
     """Exact best ``top_k`` entries per question by boosted dot product of unit vectors.
 
+    With ``others_only`` both sides number the same things, and a question does not find the entry of its own number.
+
     Both sides are cut into blocks of about ``block_rows`` rows.  Every pair of blocks is one task
     holding two small matrices and emits ``top_k`` rows per question, which a final ranking
     merges; no question meets an entry as a row, and no side is broadcast.
@@ -262,7 +269,7 @@ def vector_search(questions: DataFrame, entries: DataFrame, top_k: int = 3, bloc
     e = replicated(entries.select("entry_type", "entry_no", "rule_id", "declaration_name", "official_legal_reference", "embedding"),
                    ["entry_type", "entry_no"], "eb", e_blocks, "qb", q_blocks)
     partial = q.groupBy("qb", "eb").cogroup(e.groupBy("qb", "eb")).applyInPandas(
-        _block_search(top_k), "q_id bigint, entry_type string, entry_no bigint, raw_score double")
+        _block_search(top_k, others_only), "q_id bigint, entry_type string, entry_no bigint, raw_score double")
     w = Window.partitionBy("q_id").orderBy(F.desc("raw_score"), F.desc("entry_type"), F.asc("entry_no"))
     best = partial.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank") <= top_k)
     columns = [n for n in entries.columns if n not in ("search_text", "embedding")]

@@ -115,3 +115,11 @@ SELECT doc_id,
     ELSE concat('doc-', CAST(doc_id AS STRING), '.pdf') END AS filename,
   text
 FROM documents;
+
+-- view: noisy_labels
+SELECT product_id,
+  CASE product_id % 4 WHEN 1 THEN replace(t, '0', 'O') WHEN 2 THEN replace(t, '1', 'l') WHEN 3 THEN replace(t, '5', 'S') ELSE t END AS raw_text
+FROM (SELECT product_id, replace(replace(replace(replace(replace(replace(replace(raw_text, 'Net Qty', 'Net Oty'), 'Pkd:', 'Pkcl:'),
+    'Rs. ', CASE product_id % 3 WHEN 0 THEN 'R5 ' WHEN 1 THEN 'Rs' ELSE 'rs ' END), 'Consumer ', 'Cust Care '), 'Country of Origin', 'Cntry of Origin'),
+    'Manufactured by', CASE product_id % 2 WHEN 0 THEN 'Mfd by' ELSE 'Manuf by' END), ' g', CASE product_id % 5 WHEN 0 THEN 'gms' WHEN 1 THEN ' grams' ELSE ' g' END) AS t
+  FROM label_text) n;

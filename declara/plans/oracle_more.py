@@ -408,14 +408,14 @@ add("q_keyword_search", f"WITH {CORPUS}, {hits(3)} SELECT q_id, CAST(hit_rank AS
 
 _cite = c.CITATION
 add("q_vector_search", f"""WITH rl AS (SELECT * FROM (VALUES {RULE_VALUES}) AS t(n, rule_id, decl, descr, legal, eng, hindi, notes, pdf, amended)),
-qs AS (SELECT vec_id AS q_id, ['what is mrp 6(1)(e)', 'manufacturer address rule', 'net quantity', 'date of packing', 'rule 6 (1) (a)'][vec_id % 5 + 1] AS t, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 2 = 0),
+qs AS (SELECT vec_id AS q_id, ['what is mrp 6(1)(e)', 'manufacturer address rule', 'net quantity', 'date of packing', 'rule 6 (1) (a)'][vec_id % 5 + 1] AS t, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 en AS (SELECT vec_id AS entry_no, CASE WHEN rule_id IS NULL THEN 'official_document' ELSE 'rule' END AS entry_type, lower(coalesce(rule_id, '')) AS ri, lower(coalesce(decl, '')) AS dl, lower(coalesce(legal, '')) AS lr,
-  CAST(embedding AS DOUBLE[]) AS e FROM embeddings LEFT JOIN rl ON rl.n = vec_id % 23 WHERE vec_id % 2 = 1),
+  CAST(embedding AS DOUBLE[]) AS e FROM embeddings LEFT JOIN rl ON rl.n = vec_id % 23),
 sc AS (SELECT q_id, entry_type, entry_no, list_dot_product(qs.e, en.e) + CASE WHEN entry_type = 'rule' THEN 0.15 ELSE 0 END
   + 0.30 * len(list_filter(regexp_extract_all(t, {q(_cite)}), lambda z: contains(replace(lr, ' ', ''), replace(z, ' ', '')) OR contains(ri, replace(z, ' ', ''))))
   + CASE WHEN contains(t, 'mrp') AND (contains(dl, 'mrp') OR contains(lr, 'mrp') OR contains(ri, '6_1_e')) THEN 0.2 ELSE 0 END
   + CASE WHEN contains(t, 'manufacturer') AND (contains(dl, 'manufacturer') OR contains(ri, '6_1_a')) THEN 0.2 ELSE 0 END
-  + CASE WHEN contains(t, 'quantity') AND (contains(dl, 'quantity') OR contains(ri, '6_1_c')) THEN 0.2 ELSE 0 END AS raw FROM qs, en)
+  + CASE WHEN contains(t, 'quantity') AND (contains(dl, 'quantity') OR contains(ri, '6_1_c')) THEN 0.2 ELSE 0 END AS raw FROM qs, en WHERE q_id <> entry_no)
 SELECT q_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY raw DESC, entry_type DESC, entry_no) AS INTEGER) AS hit_rank, entry_type, entry_no, round(CAST(raw AS DOUBLE), 4) AS score FROM sc QUALIFY hit_rank <= 3""")
 
 NL = "chr(10)"
@@ -491,3 +491,156 @@ SELECT product_id, CAST(rule_no AS BIGINT) AS rule_no, rule_id, declaration, sta
 add("q_custom_scores", f"""WITH {_CUSTOM}, {o.score_cte('product_id', 'custom')}
 SELECT product_id, total_checks, passed, failed, warnings, human_verification_required, not_applicable, compliance_score,
   overall_status FROM scored""")
+
+# ---------------------------------------------------------------------------------------------
+# repair of noisy labels: patterns on ASCII text; looks around a letter are looks at its neighbours
+# ---------------------------------------------------------------------------------------------
+
+
+def _repaired(e: str, repairs: list[tuple[str, str]]) -> str:
+    for pattern, text in repairs:
+        if "(?!" in pattern:  # a word that no dot follows: the character after it stands for the look ahead
+            pattern, text = pattern.replace(r"(?!\.)\b", r"\b([^.]|$)"), text + "$1"
+        e = f"regexp_replace({e}, {q(pattern)}, {q(text.replace('$1', chr(92) + '1'))}, 'gi')"
+    return e
+
+
+def _digit_passes(source: str) -> str:
+    """CTEs s1 to s5: letters between digits or word ends, one repair after the other on all characters at once."""
+    before, after = "CASE WHEN i > 1 THEN substr(t, i - 1, 1) ELSE '' END", "substr(t, i + 1, 1)"
+
+    def digit(ch):
+        return f"regexp_matches({ch}, '[0-9]')"
+
+    def no_word(ch):
+        return f"NOT regexp_matches({ch}, '[A-Za-z0-9_]')"
+
+    tests = [("'o', 'O'", "0", f"{digit(before)} AND ({digit(after)} OR {no_word(after)})"), ("'o', 'O'", "0", f"{no_word(before)} AND {digit(after)}"),
+             ("'l', 'I'", "1", f"{digit(before)} AND ({digit(after)} OR {no_word(after)})"), ("'l', 'I'", "1", f"{no_word(before)} AND {digit(after)}"),
+             ("'s', 'S'", "5", f"{digit(before)} AND {digit(after)}")]
+    return ",\n".join(
+        f"s{n + 1} AS (SELECT product_id, pos, k, t0, array_to_string(list_transform(string_split(t, ''), lambda ch, i: CASE WHEN ch IN ({letters}) AND {test} THEN '{to}' ELSE ch END), '') AS t "
+        f"FROM {source if n == 0 else f's{n}'})" for n, (letters, to, test) in enumerate(tests))
+
+
+_NUMERIC = f"(regexp_matches(t0, '[0-9]') OR {words('lower(t0)', c.NUMERIC_LINE_WORDS)})"
+_CLEANED = f"""n AS (SELECT product_id, CAST(i - 1 AS INTEGER) AS pos, ls[i] AS line FROM (SELECT product_id, string_split(raw_text, chr(10)) AS ls FROM noisy_labels) z, unnest(range(1, len(ls) + 1)) AS u(i)),
+a AS (SELECT product_id, pos, line, {_repaired('line', c.TEXT_REPAIRS)} AS words, {_repaired(strip('line'), c.TEXT_REPAIRS)} AS sw FROM n),
+s0 AS (SELECT product_id, pos, 'd' AS k, line AS t0, line AS t FROM a UNION ALL SELECT product_id, pos, 'c', sw, sw FROM a),
+{_digit_passes('s0')},
+f AS (SELECT product_id, pos, k, CASE WHEN {_NUMERIC} THEN t ELSE t0 END AS t FROM s5),
+cl AS (SELECT a.product_id, a.pos, words, d.t AS digits, CASE WHEN {o.blank('line')} THEN '' ELSE {strip(f"regexp_replace({o._units('e.t')}, '[ ' || chr(9) || ']+', ' ', 'g')")} END AS cleaned
+  FROM a JOIN f d ON d.product_id = a.product_id AND d.pos = a.pos AND d.k = 'd' JOIN f e ON e.product_id = a.product_id AND e.pos = a.pos AND e.k = 'c')"""
+add("q_label_repair", f"WITH {_CLEANED}\nSELECT product_id, pos, words, digits, cleaned FROM cl")
+add("q_result_repair", f"""WITH {_CLEANED},
+r AS (SELECT product_id, string_agg(cleaned, chr(10) ORDER BY pos) FILTER (WHERE cleaned <> '' AND (pos + product_id) % 5 <> 0) AS kept,
+  count(*) FILTER (WHERE cleaned <> '' AND (pos + product_id) % 5 <> 0) AS k, string_agg(cleaned, chr(10) ORDER BY pos) FILTER (WHERE cleaned <> '') AS full_text, count(*) AS n FROM cl GROUP BY 1)
+SELECT product_id, coalesce(kept, full_text, '') AS cleaned, CAST(CASE WHEN k > 0 THEN k ELSE n END AS INTEGER) AS regions, 'gray,{c.REPAIR_MARKER}' AS steps FROM r""")
+
+# ---------------------------------------------------------------------------------------------
+# evidence: lines are regions, 18 px apart; a declaration is shown by the lines that hold its text or lie in it
+# ---------------------------------------------------------------------------------------------
+
+_ENTITY_QUERY = ",\n".join(f"{n}_q AS (SELECT t.product_id, kw FROM (SELECT * FROM {n}_t WHERE raw <> '' QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY i, k) = 1) t JOIN {n}_k USING (k))"
+                            for n in ("manufacturer", "packer", "importer"))
+_ASKED = [  # field, detected value, text that is looked for, condition under which the confidence is given and no record made, that confidence, whether its boxes stay
+    *[(f, "product_name", "product_name", "false", "0", "true") for f in ("product_name", "commodity_name")],
+    *[(f"{n}_{part}", f"{n}_{part}", f"(SELECT kw FROM {n}_q z WHERE z.product_id = x.product_id)", "addr_moved" if f"{n}_{part}" == "manufacturer_address" else "false", "0.85", "false")
+      for n in ("manufacturer", "packer", "importer") for part in ("name", "address")],
+    ("net_quantity", "net_quantity", "qty_raw0", "qty_conf IN (0.95, 0.92)", "qty_conf", "true"), ("mrp", "mrp", "mrp_raw", "false", "0", "true"),
+    ("unit_sale_price", "unit_sale_price", "unit_sale_price", "false", "0", "true"), ("date_declaration", "date_declaration", "made_raw", "false", "0", "true"),
+    ("best_before", "best_before", "best_raw", "false", "0", "true"), ("consumer_care_email", "consumer_care_email", "consumer_care_email", "false", "0", "true"),
+    ("consumer_care_phone", "consumer_care_phone", "consumer_care_phone", "false", "0", "true"),
+    ("consumer_care", "CASE WHEN cared THEN consumer_care END", "'care'", "false", "0", "true"),
+    ("consumer_care", "CASE WHEN NOT cared THEN consumer_care_email END", "consumer_care_email", "false", "0", "true"),
+    ("consumer_care", "CASE WHEN NOT cared THEN phone0 END", "phone0", "false", "0", "true"),
+    ("country_of_origin", "country_of_origin", "origin_raw", "origin_fix <> ''", "origin_conf", "origin_fix = 'place'"),
+]
+_EVIDENCE = f"""{o.EXTRACT},
+{_ENTITY_QUERY},
+x0 AS (SELECT e.*, EXISTS (SELECT 1 FROM care_b b WHERE b.product_id = e.product_id) AS cared, (100 - (product_id % 7) * 8) / CAST(100 AS DOUBLE) AS seen FROM extracted e),
+x AS (SELECT * FROM x0),
+ask AS ({' UNION ALL '.join(f"SELECT product_id, {q(f)} AS field_name, {k} AS part, seen, {query} AS query, {given} AS given, CAST({conf} AS DOUBLE) AS conf, {keeps} AS keeps FROM x WHERE {value} IS NOT NULL" for k, (f, value, query, given, conf, keeps) in enumerate(_ASKED))}),
+hit AS (SELECT a.*, l.i - 1 AS j, length(l.ln) AS w FROM ask a JOIN lines l ON l.product_id = a.product_id AND a.query <> '' AND (contains(lower(l.ln), lower(a.query)) OR contains(lower(a.query), lower(l.ln)))),
+per AS (SELECT a.product_id, a.field_name, a.part, any_value(a.given) AS given, any_value(a.conf) AS conf, any_value(a.keeps) AS keeps, any_value(a.seen) AS seen,
+  coalesce(any_value(a.query), '') = '' AS unasked, count(h.j) AS n, min(h.j) AS lo, max(h.j) AS hi, max(h.w) AS w
+  FROM ask a LEFT JOIN hit h ON h.product_id = a.product_id AND h.field_name = a.field_name AND h.part = a.part GROUP BY 1, 2, 3),
+field AS (SELECT product_id, field_name, bool_or(given) AS given,
+  max(CASE WHEN given THEN conf WHEN unasked THEN 0.85 WHEN n > 0 THEN seen ELSE 0.8 END) AS confidence,
+  CAST(sum(CASE WHEN given AND NOT keeps THEN 0 ELSE n END) AS INTEGER) AS regions, min(lo) AS lo, max(hi) AS hi, max(w) AS w FROM per GROUP BY 1, 2),
+box AS (SELECT *, NOT given AND regions > 0 AS has, CASE WHEN NOT given AND regions > 0 THEN CAST(10 AS DOUBLE) END AS x0, CASE WHEN has THEN CAST(18 * lo AS DOUBLE) END AS y0,
+  CASE WHEN has THEN CAST(10 + 6 * w AS DOUBLE) END AS x1, CASE WHEN has THEN CAST(18 * hi + 6 + product_id % 11 AS DOUBLE) END AS y1 FROM field)"""
+add("q_region_evidence", f"""WITH {_EVIDENCE}
+SELECT product_id, field_name, round(confidence, 4) AS confidence, regions, x0, y0, x1, y1,
+  CASE WHEN given THEN NULL WHEN has THEN round(y1 - y0, 1) ELSE 0 END AS text_height,
+  CASE WHEN given THEN NULL WHEN NOT has OR confidence < {c.WARN_CONFIDENCE} OR y1 - y0 < {c.WARN_HEIGHT_PX} THEN 'UNREADABLE'
+    WHEN confidence < {c.MIN_CONFIDENCE} OR y1 - y0 < {c.MIN_HEIGHT_PX} THEN CASE WHEN confidence >= CAST({c.MIN_CONFIDENCE} AS DOUBLE) * CAST(0.9 AS DOUBLE) THEN 'REQUIRES_HUMAN_VERIFICATION' ELSE 'LOW_READABILITY' END
+    ELSE 'READABLE' END AS readability,
+  CASE WHEN given THEN NULL WHEN has THEN CASE WHEN round((y0 + y1) / 2 / 180, 3) <= 0.5 THEN 'TOP' ELSE 'BOTTOM' END || '_' || CASE WHEN round((x0 + x1) / 2 / 640, 3) <= 0.5 THEN 'LEFT' ELSE 'RIGHT' END ELSE 'UNKNOWN' END AS quadrant,
+  CASE WHEN NOT given THEN has END AS has_evidence FROM box""")
+add("q_rule_evidence", f"""WITH {_EVIDENCE}, {o.PRODUCTS_OF_LABELS}, {o.rule_ctes('products', 'product_id')},
+rf AS (SELECT * FROM (VALUES {', '.join(f'({q(r)}, {q(f)})' for r, f in c.EVIDENCE_FIELD.items())}) AS t(rule_id, field_name))
+SELECT product_id, trim(string_split(declaration, '(')[1]) AS label, status, x0, y0, x1, y1 FROM checked JOIN rf USING (rule_id) JOIN box USING (product_id, field_name) WHERE has""")
+
+# ---------------------------------------------------------------------------------------------
+# sinks and sources: what was written is what the views hold
+# ---------------------------------------------------------------------------------------------
+
+add("q_scan_page_deep", f"""SELECT id, product_name, overall_status, compliance_score, {ISO} AS created_at FROM (SELECT * FROM scan_records ORDER BY created_at DESC, id LIMIT 50 OFFSET 1000) t""")
+add("q_scans_rewritten", """SELECT id, CASE WHEN id % 11 = 0 THEN 'corrected' ELSE product_name END AS product_name, CASE WHEN id % 11 = 0 THEN 'REVIEWED' ELSE overall_status END AS overall_status,
+  round(compliance_score + 0.004, 2) AS compliance_score, strftime(created_at, '%Y-%m-%d') AS scan_date FROM scan_records
+WHERE id % 11 = 0 OR id NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 7 = 0)""")
+add("q_stored_range", f"""SELECT id, officer_id, overall_status, round(compliance_score + 0.004, 2) AS compliance_score, strftime(created_at, '%Y-%m-%d') AS scan_date FROM scan_records WHERE {YEAR}""")
+add("q_csv_overview", "SELECT scan_id, CAST(pos AS VARCHAR) AS pos, attribute, value FROM (" + ORACLE["q_overview_rows"] + ") t")
+add("q_index_file", "SELECT * FROM (" + ORACLE["q_doc_metadata"] + ") t")
+add("q_rules_file", f"""WITH b AS (SELECT * FROM (VALUES {', '.join(f"({i}, {q(r['rule_id'])}, {q(r['declaration_name'])}, {q(r['legal_reference'])}, {q(r['severity'])}, {r['mandatory']}, {r['conditional']})" for i, r in enumerate(c.RULES))}) AS t(n, rule_id, declaration_name, legal_reference, severity, mandatory, conditional))
+SELECT CAST(n AS BIGINT) AS rule_no, rule_id, declaration_name, legal_reference, severity, mandatory, conditional FROM b
+UNION ALL SELECT CAST(n_nationkey + {_N} AS BIGINT), 'LOCAL_' || CASE WHEN n_nationkey % {_N + 2} IN ({_IMPORTERS}) THEN 'IMPORTER_' ELSE '' END || n_nationkey, 'Declaration of ' || n_name, 'Local rule ' || n_name,
+  CASE n_nationkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END, coalesce(b.mandatory, true), coalesce(b.conditional, false) FROM nation LEFT JOIN b ON b.n = n_nationkey % {_N + 2}""")
+add("q_regions_file", "SELECT image_id, engine, pos, text, confidence, x0, y0, x1, y1, CAST(CASE WHEN partkey % 2 = 0 THEN 2 ELSE 4 END AS INTEGER) AS points FROM ocr_regions")
+
+# ---------------------------------------------------------------------------------------------
+# inspections: fusion or panels, extraction, rules and insight in one statement
+# ---------------------------------------------------------------------------------------------
+
+add("q_ensemble_images", "SELECT o_orderkey AS image_id, coalesce(winning_engine, 'None') AS winning_engine, coalesce(winning_score, 0) AS winning_score, coalesce(active_engines, 0) AS active_engines, "
+    "coalesce(merged_text, '') AS merged_text, coalesce(average_confidence, 0) AS average_confidence, coalesce(engine_agreement_score, 0) AS engine_agreement_score, "
+    "coalesce(clusters_count, 0) AS clusters_count, coalesce(agreed_clusters_count, 0) AS agreed_clusters_count FROM orders LEFT JOIN (" + ORACLE["q_ensemble"] + ") t ON image_id = o_orderkey")
+
+
+def _coverage(images: str) -> str:
+    found = " + ".join(f"CAST({e} IS NOT NULL AS INTEGER)" for e in o._found.values())
+    return f"'Extracted ' || CAST({found} AS VARCHAR) || ' of 8 statutory declarations across {images}.'"
+
+
+add("q_video_inspection", f"""WITH RECURSIVE fr AS (SELECT r.*, image_id AS video_id, CAST(suppkey % 3 AS INTEGER) AS frame_index, CAST(suppkey % 3 AS INTEGER) AS source,
+  text || CASE WHEN partkey % 3 = 0 THEN chr(10) || 'MRP Rs. ' || CAST(partkey % 500 + 1 AS VARCHAR) || ' incl. of all taxes' ELSE '' END AS said FROM ocr_regions r),
+sh AS (SELECT v.video_id, v.f AS frame_index, coalesce(max(y1), 0) AS s FROM (SELECT DISTINCT video_id, f FROM fr, unnest([0, 1, 2]) AS u(f)) v LEFT JOIN fr ON fr.video_id = v.video_id AND fr.frame_index = v.f GROUP BY 1, 2),
+ch AS (SELECT video_id, 0 AS frame_index FROM sh WHERE frame_index = 0
+  UNION ALL SELECT video_id, CASE WHEN max(s) FILTER (WHERE frame_index = 2) > max(s) FILTER (WHERE frame_index = 1) THEN 2 ELSE 1 END FROM sh GROUP BY 1),
+pr AS (SELECT video_id, min_by(frame_index, {{'s': -s, 'f': frame_index}}) AS primary_frame, count(*) AS frames_analyzed FROM ch JOIN sh USING (video_id, frame_index) GROUP BY 1),
+src AS (SELECT fr.* EXCLUDE (text, said), said AS text FROM fr JOIN ch USING (video_id, frame_index)), {greedy('src', 'video_id', 'frame_index, engine, ' + TIE)},
+win AS (SELECT video_id, start, w.t AS text, w.c AS confidence, w.x0 AS x0, w.y0 AS y0, w.x1 AS x1, w.y1 AS y1 FROM cluster),
+ext AS (SELECT video_id, greatest(100, CAST(floor(round(max(x1), 1)) AS INTEGER) + 50) AS ew, greatest(100, CAST(floor(round(max(y1), 1)) AS INTEGER) + 50) AS eh FROM win GROUP BY 1),
+sized AS (SELECT win.*, ew, eh FROM win JOIN ext USING (video_id)), {blocks('sized', 'ew', 'eh', 'false')}, {reading('blk', 'video_id', 'start')},
+fused_text AS (SELECT video_id AS product_id, string_agg(text, chr(10) ORDER BY reading_position) AS raw_text, count(*) AS regions_detected FROM placed GROUP BY 1),
+{o.EXTRACT.replace('FROM label_text', 'FROM fused_text')}, {o.PRODUCTS_OF_LABELS}, {o.rule_ctes('products', 'product_id')}, {o.score_cte('product_id')}
+SELECT s.product_id AS video_id, primary_frame, frames_analyzed, regions_detected, overall_status, compliance_score, {_coverage('1 package image')} AS coverage_note
+FROM scored s JOIN extracted USING (product_id) JOIN fused_text USING (product_id) JOIN pr ON pr.video_id = s.product_id""")
+
+_FIELDS = list(dict.fromkeys(n for n, *_ in o._ROWS))
+add("q_panel_inspection", f"""WITH panel_text AS (WITH {o.lines_cte()} SELECT product_id * 2 + pn AS product_id, array_to_string(list_filter(ls, lambda l, i: (i - 1) % 2 = pn), chr(10)) AS raw_text FROM parts, unnest([0, 1]) AS u(pn)),
+{o.EXTRACT.replace('FROM label_text', 'FROM panel_text').replace('extracted AS (', 'read AS (')},
+pf AS ({' UNION ALL '.join(f"SELECT product_id // 2 AS pid, product_id % 2 AS panel, {q(n)} AS field_name, {v} AS value, CAST({k} AS DOUBLE) AS confidence FROM read WHERE {v} <> ''" for n, v, _, k in o._ROWS)}),
+pick AS (SELECT * FROM pf QUALIFY row_number() OVER (PARTITION BY pid, field_name ORDER BY confidence DESC, length({strip('value')}) DESC, panel) = 1),
+flags AS (SELECT product_id // 2 AS pid, coalesce(min_by(category, product_id % 2) FILTER (WHERE category NOT IN ('general', '')), 'general') AS category, bool_or(is_imported) AS is_imported FROM read GROUP BY 1),
+extracted AS (SELECT f.pid AS product_id, any_value(f.category) AS category, any_value(f.is_imported) AS is_imported,
+  {', '.join(f"max(value) FILTER (WHERE field_name = {q(n)}) AS {n}" for n in _FIELDS)} FROM flags f LEFT JOIN pick USING (pid) GROUP BY 1),
+{o.PRODUCTS_OF_LABELS.replace('product_name AS generic_name', 'coalesce(commodity_name, product_name) AS generic_name')}, {o.rule_ctes('products', 'product_id')}, {o.score_cte('product_id')},
+lab AS (SELECT * FROM (VALUES {', '.join(f"({i}, {q(k)}, {q(v)})" for i, (k, v) in enumerate(c.PANEL_NOTE_LABELS.items()))}) AS t(ord, field_name, label)),
+noted AS (SELECT pid AS product_id, string_agg(label || ' found on image ' || CAST(panel + 1 AS VARCHAR), ', ' ORDER BY ord) AS found FROM pick JOIN lab USING (field_name) GROUP BY 1),
+guided AS (SELECT product_id, {o.GUIDE} AS note FROM products), covered AS (SELECT product_id, category, {_coverage('2 package images')} AS coverage_note FROM extracted)
+SELECT s.product_id, overall_status, compliance_score, passed, failed,
+  {q(c.DEFAULT_SUMMARY)} || chr(10) || chr(10) || '[MULTI-PANEL AUDIT] Analysis based on 2 images of the same product.' || coalesce(' (' || found || ')', '') || coalesce(chr(10) || chr(10) || '[INSPECTOR GUIDANCE] ' || note, '') AS summary,
+  coverage_note, category
+FROM scored s JOIN guided USING (product_id) JOIN covered USING (product_id) LEFT JOIN noted USING (product_id)""")

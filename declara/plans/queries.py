@@ -33,6 +33,7 @@ from declara.plans import pipelines
 from declara.plans.bridges import spread, table, view
 from declara.session import shared_dir, stored
 from declara.sources import readers as rd
+from declara.sources import writers as wr
 from declara.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +164,28 @@ def q_text_repair(spark, d):
     return fixed.select("doc_id", F.length("cleaned").alias("cleaned_chars"), F.md5("cleaned").alias("cleaned_md5"))
 
 
+@query
+def q_label_repair(spark, d):
+    """Every line of noisily read labels: word repairs, digit repairs and all of them."""
+    line = F.col("line")
+    rows = view(spark, d, "noisy_labels", "part").select("product_id", F.posexplode(F.split("raw_text", "\n")).alias("pos", "line"))
+    return rows.select("product_id", "pos", tx.repair_confusions(line).alias("words"), tx.repair_digits(line).alias("digits"),
+                       tx.clean_line(line).alias("cleaned"))
+
+
+@query
+def q_result_repair(spark, d):
+    """Recognised results whose lines are regions, every fifth line blank: repaired regions, text and steps."""
+    labels = view(spark, d, "noisy_labels", "part")
+    regions = F.transform(F.split("raw_text", "\n"), lambda ln, i: F.struct(
+        F.when((i + F.col("product_id")) % 5 == 0, "  ").otherwise(ln).alias("text"), F.lit(0.9).alias("confidence"),
+        g.polygon(F.lit(0.0), F.lit(0.0), F.lit(9.0), F.lit(9.0)).alias("bounding_box")))
+    steps = F.when(F.col("product_id") % 2 == 0, F.array(F.lit("gray"), F.lit(c.REPAIR_MARKER))).otherwise(F.array(F.lit("gray")))
+    done = labels.withColumn("r", tx.clean_result(F.col("raw_text"), regions, steps))
+    return done.select("product_id", F.col("r.raw_text").alias("cleaned"), F.size("r.regions").alias("regions"),
+                       F.array_join("r.preprocessing_applied", ",").alias("steps"))
+
+
 @query
 def q_unit_standard(spark, d):
     """Unit spelling of every label."""
@@ -352,6 +375,15 @@ def q_ensemble(spark, d):
         "engine_agreement_score", "clusters_count", "agreed_clusters_count")
 
 
+@query
+def q_ensemble_images(spark, d):
+    """The same for all images, also those on which no engine found anything."""
+    images = table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"))
+    return fu.ensemble(_regions(spark, d), "image_id", REGION_ORDER, images=images).select(
+        "image_id", "winning_engine", "winning_score", "active_engines", "merged_text", "average_confidence",
+        "engine_agreement_score", "clusters_count", "agreed_clusters_count")
+
+
 @query
 def q_reading_order(spark, d):
     """Reading order of every region, with engine order as tie-breaker."""
@@ -529,6 +561,13 @@ def q_scan_page(spark, d):
     return hi.page_projection(page).select("id", "product_name", "overall_status", "compliance_score", "created_at", "officer_id")
 
 
+@query
+def q_scan_page_deep(spark, d):
+    """A page far back in the history of all scans."""
+    page = hi.deep_page(_scans(spark, d), limit=50, offset=1000)
+    return page.select("id", "product_name", "overall_status", "compliance_score", hi.iso_time(F.col("created_at").cast("timestamp")).alias("created_at"))
+
+
 @query
 def q_scan_total(spark, d):
     return hi.scan_total(_scans(spark, d), status="NON_COMPLIANT", officer_id=5, date_from=SCAN_YEAR[0], date_to=SCAN_YEAR[1])
@@ -572,6 +611,67 @@ def q_scans_officers(spark, d):
     return hi.with_officers(_scans(spark, d), some).select("id", "officer_id", "officer_username", "officer_is_active", "overall_status")
 
 
+def _stored_scans(spark: SparkSession, d: str) -> str:
+    """Path of a scan table that holds all scans, written through the sink."""
+    path = f"{shared_dir(spark)}/scans-{uuid.uuid4().hex}"
+    wr.append_scans(_payloads(spark, d).withColumn("created_at", F.col("created_at").cast("timestamp")), path)
+    return path
+
+
+@query
+def q_scans_rewritten(spark, d):
+    """A stored scan table after deletions and corrections that touch some days only, read back."""
+    path = _stored_scans(spark, d)
+    wr.delete_stored(spark, path, table(spark, d, "orders").filter(F.col("o_custkey") % 7 == 0).select(F.col("o_orderkey").alias("id")))
+    again = _payloads(spark, d).withColumn("created_at", F.col("created_at").cast("timestamp")).filter(F.col("id") % 11 == 0).withColumns({"overall_status": F.lit("REVIEWED"), "product_name": F.lit("corrected")})
+    wr.upsert_stored(spark, path, again)
+    return rd.read_scans(spark, path).select("id", "product_name", "overall_status", "compliance_score", F.date_format("scan_date", "yyyy-MM-dd").alias("scan_date"))
+
+
+@query
+def q_stored_range(spark, d):
+    """Scans of a range of days, read from the stored table by its partitions."""
+    scans = rd.read_scans(spark, _stored_scans(spark, d), SCAN_YEAR[0], SCAN_YEAR[1])
+    return scans.select("id", "officer_id", "overall_status", "compliance_score", F.date_format("scan_date", "yyyy-MM-dd").alias("scan_date"))
+
+
+@query
+def q_csv_overview(spark, d):
+    """The overview section of the audit record, written as CSV and read back."""
+    scans = ex.normalize_scans(_stored(spark, d)).withColumn("extracted", F.lit(None).cast("string"))
+    sections = wr.write_csv_audit(scans, f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}")
+    return spark.read.option("header", True).csv(sections["overview"])
+
+
+@query
+def q_index_file(spark, d):
+    """The document index, written through its sink and read back in splits."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    wr.write_document_index(_index(spark, d).drop("text"), path)
+    return rd.read_document_records(spark, path).select(
+        "doc_id", "filename", "title", "date", "document_type", "language", F.array_join("key_topics", ",").alias("key_topics"), "char_count")
+
+
+@query
+def q_rules_file(spark, d):
+    """A rule catalogue with local rules, written as a JSON array and read back."""
+    path = f"{shared_dir(spark)}/rules-{uuid.uuid4().hex}"
+    wr.write_rules(_local_rules(spark, d), path)
+    return rd.read_rules(spark, path).select("rule_no", "rule_id", "declaration_name", "legal_reference", "severity", "mandatory", "conditional")
+
+
+@query
+def q_regions_file(spark, d):
+    """Region rows, written and read with their schema; flat boxes become polygons of two corners."""
+    path = f"{shared_dir(spark)}/regions-{uuid.uuid4().hex}"
+    flat = F.array("x0", "y0", "x1", "y1")
+    rows = _regions(spark, d).select(*_REGION_KEYS, "text", "confidence", F.when(F.col("partkey") % 2 == 0, rd.flat_box(flat)).otherwise(
+        g.polygon(*[F.col(n) for n in fu.CORNERS])).alias("bounding_box"))
+    wr.write_regions(rows, path)
+    back = fu.with_corners(rd.read_regions(spark, path))
+    return back.select("image_id", "engine", "pos", "text", "confidence", *fu.CORNERS, F.size("bounding_box").alias("points"))
+
+
 def _payloads(spark: SparkSession, d: str) -> DataFrame:
     """Incoming scans as JSON documents."""
     s = _scans(spark, d)
@@ -830,13 +930,13 @@ def q_keyword_search(spark, d):
 
 
 def _vector_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Every second vector asks, the others answer; the corpus texts are rules, cycled."""
+    """Every vector asks and answers; the corpus texts are rules, cycled."""
     vectors = table(spark, d, "embeddings")
     texts = ["what is mrp 6(1)(e)", "manufacturer address rule", "net quantity", "date of packing", "rule 6 (1) (a)"]
     picked = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("vec_id") % 5 + 1).cast("int"))
-    questions = vectors.filter(F.col("vec_id") % 2 == 0).select(F.col("vec_id").alias("q_id"), picked.alias("text"), "embedding")
+    questions = vectors.select(F.col("vec_id").alias("q_id"), picked.alias("text"), "embedding")
     rules = rd.builtin_rules(spark).select("rule_no", "rule_id", "declaration_name", "official_legal_reference")
-    entries = vectors.filter(F.col("vec_id") % 2 == 1).withColumn("rule_no", (F.col("vec_id") % 23).cast("bigint")).join(
+    entries = vectors.withColumn("rule_no", (F.col("vec_id") % 23).cast("bigint")).join(
         rules, "rule_no", "left").select(
         F.when(F.col("rule_id").isNull(), "official_document").otherwise("rule").alias("entry_type"),
         F.col("vec_id").alias("entry_no"), "rule_id", "declaration_name", "official_legal_reference", "embedding")
@@ -845,9 +945,9 @@ def _vector_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def q_vector_search(spark, d):
-    """Three nearest entries per vector, with boosts."""
+    """Three nearest other entries per vector, with boosts."""
     questions, entries = _vector_sides(spark, d)
-    return se.vector_search(questions, entries, 3).select("q_id", "hit_rank", "entry_type", "entry_no", "score")
+    return se.vector_search(questions, entries, 3, others_only=True).select("q_id", "hit_rank", "entry_type", "entry_no", "score")
 
 
 @query

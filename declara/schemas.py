@@ -30,6 +30,10 @@ DOCUMENT_INDEX = (
     "dataset_name string, total_documents bigint, documents array<struct<filename:string,title:string,"
     "date:string,document_type:string,language:string,key_topics:array<string>,char_count:bigint,page_count:bigint>>"
 )
+DOCUMENT_RECORDS = (
+    "doc_id bigint, filename string, title string, date string, document_type string, language string, "
+    "key_topics array<string>, char_count bigint"
+)
 SCANS = (
     "id bigint, product_name string, overall_status string, compliance_score double, compliance_result string, "
     "authenticity_result string, visual_statistics string, extracted_data string, image_path string, "

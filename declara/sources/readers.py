@@ -43,11 +43,19 @@ def builtin_rules(spark: SparkSession) -> DataFrame:
 
 
 def read_document_index(spark: SparkSession, path: str) -> DataFrame:
-    """Document index (one JSON object holding an array) as one row per document."""
+    """Document index that is one JSON object holding an array, as one row per document.
+
+    One object is one task; a large index is kept as records (``read_document_records``).
+    """
     whole = spark.read.schema(schemas.DOCUMENT_INDEX).json(path, multiLine=True)
     return whole.select(F.posexplode("documents").alias("doc_id", "d")).select("doc_id", "d.*")
 
 
+def read_document_records(spark: SparkSession, path: str) -> DataFrame:
+    """Document index of one record per line, as the sink writes it: an index of any size, read in splits."""
+    return spark.read.schema(schemas.DOCUMENT_RECORDS).json(path, mode="FAILFAST")
+
+
 def read_extracted_texts(spark: SparkSession, path: str) -> DataFrame:
     """Every extracted text file, whole, by file stem."""
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))

@@ -120,3 +120,48 @@ def test_engine_rows(spark):
     assert set(got) == {"MRP", "z"} and got["MRP"].confidence == 0.875 and got["z"].confidence == 1.0
     assert got["MRP"].bounding_box == [[1.0, 2.0], [4.0, 2.0], [4.0, 6.0], [1.0, 6.0]]
     assert schemas.REGIONS
+
+
+def test_only_touched_days_are_rewritten(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "scans")
+
+    def payload(rows):
+        return spark.createDataFrame([(i, dt.datetime(2026, 1, day, 12), name, f"S.{status}", 50.0, None, None) for i, day, name, status in rows],
+                                     "id bigint, created_at timestamp, product_name string, overall_status string, compliance_score double, "
+                                     "compliance_result string, extracted_data string")
+
+    def files():
+        return {f"{d[len(path):]}/{n}" for d, _, names in os.walk(path) for n in names if n.endswith(".parquet")}
+
+    def kept():
+        return {r.id: (r.scan_date.day, r.product_name, r.overall_status) for r in readers.read_scans(spark, path).collect()}
+
+    writers.append_scans(payload([(i, 1 + i % 4, f"n{i}", "NEW") for i in range(40)]), path)
+    before = files()
+    writers.delete_stored(spark, path, spark.createDataFrame([(i,) for i in [1, 5, 5, 999, *range(2, 40, 4)]], "id bigint"))
+    after = files()
+    assert {f for f in before if "-01-01/" in f or "-01-04/" in f} == {f for f in after if "-01-01/" in f or "-01-04/" in f}
+    assert not any("-01-03/" in f for f in after)  # nothing of that day is left
+    assert set(kept()) == {i for i in range(40) if i % 4 != 2 and i not in (1, 5)}
+    writers.upsert_stored(spark, path, payload([(0, 2, "moved", "B"), (0, 1, "older", "A"), (77, 9, "fresh", "C")]))
+    assert {f for f in after if "-01-04/" in f} == {f for f in files() if "-01-04/" in f}
+    rows = kept()
+    assert rows[0] == (2, "moved", "B") and rows[77] == (9, "fresh", "C") and len(rows) == 29
+    writers.delete_stored(spark, path, spark.createDataFrame([(12345,)], "id bigint"))
+    writers.upsert_stored(spark, path, payload([]))
+    assert kept() == rows
+
+
+def test_deep_pages_equal_sorted_pages(spark):
+    import random as rnd
+
+    made = rnd.Random(3)
+    rows = [(i, None if i % 50 == 7 else dt.datetime(2026, 1, 1) + dt.timedelta(days=made.choice([0, 0, 0, 1, 5]), seconds=made.randrange(90)), "X") for i in range(700)]
+    scans = spark.createDataFrame(rows, "id bigint, created_at timestamp, overall_status string")
+    order = [r[0] for r in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or dt.datetime(2026, 1, 1)).timestamp(), r[0]))]
+    for at_once in (5, 100_000):
+        for offset in (0, 1, 333, 680, 690, 699, 5000):
+            page = history.deep_page(scans, limit=20, offset=offset, at_once=at_once)
+            assert [r.id for r in page.collect()] == order[offset:offset + 20], (at_once, offset)

@@ -199,9 +199,14 @@ def resolved(seqs: DataFrame, media: DataFrame) -> DataFrame:
     return refs.join(media, "digest", "left")
 
 
+def _escaped(text: Column) -> Column:
+    out = F.coalesce(text, F.lit(""))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
 def as_page(text: Column, caption: Column) -> Column:
-    """A text as a page that shows it and refers to its own payload."""
-    escaped = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")),
-                                  F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return F.concat(F.lit("<p>"), escaped, F.lit('</p><figure><img src="sha256:'), F.sha2(payload_of(text), 256),
-                    F.lit('"><figcaption>'), F.coalesce(caption, F.lit("")), F.lit("</figcaption></figure>"))
+    """A text as a page that shows it and refers to its own payload; markup in text and caption is shown as it is."""
+    return F.concat(F.lit("<p>"), _escaped(text), F.lit('</p><figure><img src="sha256:'), F.sha2(payload_of(text), 256),
+                    F.lit('"><figcaption>'), _escaped(caption), F.lit("</figcaption></figure>"))

@@ -37,18 +37,21 @@ def rounded(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distances of paired rows, components added in order."""
+    """Euclidean distances of paired rows, components added in order; squares beyond the doubles are infinite."""
     total = np.zeros(len(x))
-    for i in range(x.shape[1]):
-        total += (x[:, i] - y[:, i]) ** 2
+    with np.errstate(over="ignore"):
+        for i in range(x.shape[1]):
+            total += (x[:, i] - y[:, i]) ** 2
     return np.sqrt(total)
 
 
 def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int,
          at_once: int = 256) -> pd.DataFrame:
     """The k nearest candidates of each query within one tile."""
-    whole, scale, rest = rounded(vectors)
-    q_whole, q_scale, q_rest = rounded(queries)
+    # bounds are taken at a scale at which no square overflows; what squares lose to underflow is in the margin
+    unit = 2.0 ** -np.frexp(max(np.abs(vectors).max(), np.abs(queries).max()))[1]
+    whole, scale, rest = rounded(vectors * unit)
+    q_whole, q_scale, q_rest = rounded(queries * unit)
     kind = np.float32 if vectors.shape[1] * 127 ** 2 < 2 ** 24 else np.float64
     y, norm = whole.astype(kind), np.sqrt((whole.astype(np.int64) ** 2).sum(axis=1)) * scale
     q_norm = np.sqrt((q_whole.astype(np.int64) ** 2).sum(axis=1)) * q_scale
@@ -57,7 +60,7 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
         own = slice(at, at + at_once)
         product = (q_whole[own].astype(kind) @ y.T).astype(np.float64) * q_scale[own, None] * scale
         near = np.sqrt(np.maximum(q_norm[own, None] ** 2 + norm ** 2 - 2 * product, 0))
-        margin = q_rest[own, None] + rest + 1e-7 * (q_norm[own, None] + norm)
+        margin = q_rest[own, None] + rest + 1e-7 * (q_norm[own, None] + norm) + 1e-150
         other = query_ids[own, None] != ids
         upper = np.where(other, near + margin, np.inf)
         limit = np.partition(upper, k - 1, axis=1)[:, k - 1:k] if upper.shape[1] > k else np.inf

@@ -7,9 +7,11 @@ least that the automata learn from, is scored by its likelihood under each autom
 It is reported as ``format_<kind>`` where it gains at least ``accept`` bits per character, and ``FEW * accept`` bits in
 all: a short token must gain more per character.  What its characters are does not matter otherwise.
 
-* A first pass over the texts keeps the values of base spans and counts the character pairs of all ordinary words (runs
-  without white space outside base spans that are letters only once punctuation around them is cut off).  The counts are added up by pair; characters
-  that no candidate holds count as one, so their table is bounded by the alphabet.  A second pass finds and scores.
+* A first pass over the texts keeps the values of base spans and counts the character pairs of all ordinary words and
+  numbers (runs without white space outside base spans that are letters only, or digits and signs only, once punctuation
+  around them is cut off).  A candidate of digits and signs is measured against numbers, any other one against words, so a
+  hexadecimal format does not win over a plain number.  The counts are added up by pair;
+  characters that no candidate holds count as one, so their table is bounded by the alphabet.  A second pass finds and scores.
 * The automata learn from a bounded sample: the ``train`` distinct labelled values of each kind (of at most ``longest``
   characters) whose hash is smallest.  Only these and the table of pairs reach the driver.  Word statistics, search and
   scoring cover all texts and all candidates.
@@ -39,7 +41,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 SHORTEST, FEW = 8, 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % SHORTEST)
-PLAIN = frozenset("\nABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+SIGNS = "+/_=.-"
+NUMBER = frozenset("0123456789" + SIGNS)
+PLAIN = frozenset("\nABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + SIGNS)
+_NO_SIGNS = str.maketrans("", "", SIGNS)
 AROUND = ".,;:!?()[]{}<>\"'"
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ["assign", "access", "hex"]
@@ -75,14 +80,17 @@ def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[
 
 
 def word_pairs(texts: list[str]) -> Counter:
-    """Character pairs of all ordinary words of whole texts, each as often as it stands there."""
+    """Character pairs of all ordinary words and numbers of whole texts, each as often as it stands there.
+
+    Numbers count too: a format of hexadecimal digits must not win over a plain run of digits.
+    """
     words: Counter = Counter()
     for text in texts:
         words.update(text.split())
     plain: Counter = Counter()
     for word, times in words.items():
         word = word.strip(AROUND)
-        if word.isalpha():
+        if word.isalpha() or word.translate(_NO_SIGNS).isdigit():
             plain[word] += times
     pairs: Counter = Counter()
     for word, times in plain.items():
@@ -122,7 +130,7 @@ def _smallest(values: DataFrame, n: int) -> list[str]:
 
 
 def learn(read: DataFrame, labelled: DataFrame | None = None, train: int = 1000, longest: int = 128):
-    """Automata by kind from labelled values (default: what the base patterns found), and the background."""
+    """Automata by kind from labelled values (default: what the base patterns found), and what words and numbers are like."""
     if labelled is None:
         labelled = read.select(F.explode(F.arrays_zip("kind", "value")).alias("x")).select("x.kind", "x.value")
     short = labelled.filter(F.length("value").between(8, longest))
@@ -133,7 +141,9 @@ def learn(read: DataFrame, labelled: DataFrame | None = None, train: int = 1000,
             models[kind] = Automaton(values)
     pairs = (read.select(F.explode(F.arrays_zip("pair", "times")).alias("x")).groupBy("x.pair")
              .agg(F.sum("x.times").alias("times")).collect()) if models else []
-    return models, Background({(r["pair"][0], r["pair"][1]): r["times"] for r in pairs})
+    counts = {(r["pair"][0], r["pair"][1]): r["times"] for r in pairs}
+    numbers = {p: k for p, k in counts.items() if p[1] in NUMBER}
+    return models, Background({p: k for p, k in counts.items() if p not in numbers}), Background(numbers)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = 1.0,
@@ -143,12 +153,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = slim.schema["doc_id"].dataType.simpleString()
     read = stored(slim.select("text").mapInArrow(_read, "kind array<string>, value array<string>, pair array<string>, "
                                                         "times array<bigint>"), "secrets")
-    models, background = learn(read, labelled, train)
+    models, ordinary, numbers = learn(read, labelled, train)
 
     def score(batches):
         @lru_cache(maxsize=1 << 16)
         def format_of(token: str) -> str | None:
-            usual = background.bits(token)
+            usual = (numbers if NUMBER.issuperset(token) else ordinary).bits(token)
             need = accept * max(len(token), FEW)
             if need + usual > 0:  # no likelihood is above 1
                 return None

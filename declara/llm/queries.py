@@ -142,5 +142,16 @@ k AS (SELECT seg, row, i, name, dice FROM c WHERE dice >= 0.8 QUALIFY row_number
 b AS (SELECT row, name, dice, CAST(count(*) OVER (PARTITION BY row) AS INT) AS n FROM k QUALIFY row_number() OVER (PARTITION BY row ORDER BY dice DESC, i) = 1)
 SELECT doc_id, name AS license, dice, coalesce(n, 0) AS n_segments FROM d LEFT JOIN b ON b.row = d.row"""
 
-#: The others decide by learned scores, token ids, fingerprints or positions of matches, which SQL cannot state.
-ORACLE = {"op1_url_filter": _OP1, "op4_neighbours": _OP4, "op7_licenses": _OP7}
+_UNIT = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+_DRAWS = ", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))
+_OP11 = f"""WITH u AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+v AS (SELECT *, regexp_extract_all(t, {_text(_UNIT)}) AS w, len(w) AS n, {_DRAWS} FROM u),
+x AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM v),
+y AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM x)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(p || m || s) AS restored_sha256 FROM y"""
+
+#: The others decide by learned scores, token ids, checksums, fingerprints or positions of matches, which SQL cannot state.
+ORACLE = {"op1_url_filter": _OP1, "op4_neighbours": _OP4, "op7_licenses": _OP7, "op11_fim": _OP11}

@@ -5,10 +5,14 @@ from __future__ import annotations
 import datetime as dt
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import ArrayType, MapType, StructField, StructType
 
 from declara.functions.base import rounded
 from declara.operators.analytics import mean_of
@@ -28,12 +32,34 @@ def evaluate_stream(products: DataFrame, rules: list[dict] | None = None, as_of:
     return check_products(products, rules, as_of)
 
 
+def _earliest_of_batch(key: str, order: list[str]):
+    """The earliest row of each key of a partition, and a row without key that carries the latest time seen."""
+    def run(batches):
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).sort_by([(n, "ascending") for n in order])
+        at = pa.table({"key": rows.column(key), "at": pa.array(np.arange(len(rows)))}).filter(pc.field("key").is_valid())
+        first = at.group_by("key").aggregate([("at", "min")]).column("at_min")
+        mark = pa.table([pa.array(
+            [pc.max(rows.column(f.name)).as_py() if f.name == "created_at" else None], f.type) for f in rows.schema], schema=rows.schema)
+        yield from pa.concat_tables([rows.take(first), mark]).combine_chunks().to_batches()
+
+    return run
+
+
 def first_deliveries(scans: DataFrame, key: str = "id", lateness: str = LATENESS) -> DataFrame:
     """Scans without re-deliveries that arrive within the lateness of the first one.
 
-    The state holds the keys of that period only.
+    Of copies that arrive together the earliest counts, in whatever order their files are read: the rows of a micro-batch
+    are dealt by key, and a task passes on the earliest of each (it holds its share of the micro-batch for that).  The
+    others still move the watermark, through a row without key.  Rows without key are no scans.  The state holds the keys of
+    the lateness only.
     """
-    return scans.withWatermark("created_at", lateness).dropDuplicatesWithinWatermark([key])
+    schema = StructType([StructField(f.name, f.dataType) for f in scans.schema])
+    plain = [f.name for f in schema if f.name != "created_at" and not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    earliest = scans.repartition(key).mapInArrow(_earliest_of_batch(key, ["created_at", *plain]), schema)
+    return earliest.withWatermark("created_at", lateness).dropDuplicatesWithinWatermark([key]).filter(F.col(key).isNotNull())
 
 
 def live_trend(scans: DataFrame, lateness: str = LATENESS) -> DataFrame:

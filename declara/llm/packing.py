@@ -117,7 +117,7 @@ def encode(texts: pa.Array, path: str, most: int = 600_000) -> tuple[np.ndarray,
     return all_ids.astype("<u4"), reach[borders]
 
 
-def _slices(texts: pa.Array, most: int = 12_000_000):
+def _slices(texts: pa.Array, most: int = 3_000_000):
     """Neighbouring texts of about ``most`` bytes together; a longer text stands alone."""
     at, held = 0, 0
     for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):

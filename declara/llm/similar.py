@@ -25,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -222,7 +222,7 @@ def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str,
             yield pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.int64()), pa.array(sets.values(), pa.list_(pa.int64()))],
                                              names=["node", "set"])
 
-    sets = stored(texts.mapInArrow(run, "node bigint, set array<bigint>").dropDuplicates(["node"]), "sets")
+    sets = texts.mapInArrow(run, "node bigint, set array<bigint>").dropDuplicates(["node"])
     one, two = sets.select(F.col("node").alias("u"), F.col("set").alias("a")), sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     return (pairs.join(one, "u").join(two, "v").select("u", "v", shared.alias("s"), (F.size("a") + F.size("b")).alias("n"))
@@ -271,6 +271,13 @@ def prefixes(docs: DataFrame, text_col: str, shingle: int, similarity: float, us
     return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "h bigint, node bigint, n int, place int")
 
 
+def shared(parts: DataFrame) -> DataFrame:
+    """The distinct rows of ``parts`` whose element stands in the prefixes of two nodes and more, after one shuffle by element."""
+    w = Window.partitionBy("h")
+    return (parts.withColumn("a", F.min("node").over(w)).withColumn("b", F.max("node").over(w)).filter("a != b")
+            .drop("a", "b").distinct())
+
+
 def across(met: DataFrame, roots: DataFrame, similarity: float, block: int = 1000) -> DataFrame:
     """Pairs u, v of different clusters that share an element of ``met`` and can overlap enough by size and place.
 
@@ -304,8 +311,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     near = components(confirmed(proposals(spark, wides.select("node", "fp", "wide"), similarity, reach=reach),
                                 rows, docs, text_col, shingle, similarity))
     parts = prefixes(docs, text_col, shingle, similarity, bucket_use(docs, text_col, shingle))
-    shared = (parts.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("h"))
-    met = stored(parts.join(stored(shared, "shared"), "h", "left_semi").distinct(), "prefixes")
+    met = stored(shared(parts), "prefixes")
     far = stored(confirmed(across(met, near, similarity), rows, docs, text_col, shingle, similarity), "far")
     roots = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).union(far))
     placed = (wides.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))

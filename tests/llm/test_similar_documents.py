@@ -1,10 +1,13 @@
 """Alike documents (five-word shingles, Jaccard 0.8 and more) against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 from declara.llm import similar, simhash
+from declara.session import SHUFFLE_CLEANUP, stored
+from pyspark.sql import functions as F
 
 RND = random.Random(11)
 VOCABULARY = [f"w{i}" for i in range(500)]
@@ -147,3 +150,25 @@ def test_clashing_columns(spark):
     kept = simhash.deduplicated(rows, similar.similar_documents(rows))
     assert kept.columns == rows.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
     assert mixing.mixed_documents(rows).columns == rows.columns
+
+
+def test_shared_elements_keep_the_distinct_rows_of_several_nodes(spark):
+    rows = [(1, 10, 3, 0), (1, 10, 3, 0), (1, 11, 4, 1), (2, 10, 3, 1), (2, 10, 3, 1), (3, 12, 1, 0), (4, 11, 4, 0), (4, 12, 1, 2)]
+    parts = spark.createDataFrame(rows, "h bigint, node bigint, n int, place int").repartition(3)
+    kept = sorted(map(tuple, similar.shared(parts).collect()))
+    assert kept == [(1, 10, 3, 0), (1, 11, 4, 1), (4, 11, 4, 0), (4, 12, 1, 2)]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    table = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "seven")
+    for _ in range(50):  # files are removed in the background
+        if shuffled() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= before
+    assert table.count() == 7 and spark.conf.get(SHUFFLE_CLEANUP, None) == setting

@@ -22,12 +22,18 @@ def append_scans(payloads: DataFrame, path: str) -> None:
     shaped.hint("rebalance", "scan_date").write.mode("append").partitionBy("scan_date").parquet(path)
 
 
-def write_csv_audit(scans: DataFrame, path: str) -> dict[str, str]:
-    """The three sections of the audit record of normalised scans, one CSV folder each."""
+def write_csv_audit(scans: DataFrame, path: str, compression: str = "gzip") -> dict[str, str]:
+    """The three sections of the audit record of normalised scans, one CSV folder each.
+
+    The scans are stored once and every section is written from that table, so they are not put together
+    three times.  The files are compressed (``none`` writes them plain); Spark reads both alike.
+    """
+    used = ["scan_id", "product_name", "overall_status", "compliance_score", "created_at_str", "officer", "compliance", "extracted"]
+    scans = stored(scans.select(*used), "audit-scans")
     sections = {"overview": exports.overview_rows(scans), "declarations": exports.flattened_fields(scans),
                 "assessment": exports.rule_rows(exports.result_rows(scans))}
     for name, df in sections.items():
-        df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+        df.write.mode("overwrite").option("header", True).option("compression", compression).csv(f"{path}/{name}")
     return {name: f"{path}/{name}" for name in sections}
 
 

@@ -88,6 +88,26 @@ def test_store_and_read_back(spark, tmp_path):
     assert spark.read.option("header", True).csv(out["overview"]).count() == 40
 
 
+def test_audit_sections_read_their_scans_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(score):
+        seen.add(1)
+        return score
+
+    scans = readers.parse_scans(four_scans(spark)).withColumns({"officer_id": F.lit(0), "extracted": F.lit(None).cast("string")})
+    scans = exports.normalize_scans(scans).withColumn("compliance_score", F.udf(count, "double")("compliance_score"))
+    out = writers.write_csv_audit(scans, str(tmp_path / "audit"))
+    assert seen.value == 4
+    for name, path in out.items():
+        files = [f.name for f in (tmp_path / "audit" / name).glob("part-*")]
+        assert files and all(f.endswith(".csv.gz") for f in files) and path.endswith(name)
+    plain = writers.write_csv_audit(scans, str(tmp_path / "plain"), "none")
+    for name in out:
+        a, b = (sorted(map(str, spark.read.option("header", True).csv(p[name]).collect())) for p in (out, plain))
+        assert a == b and (a or name == "declarations")
+
+
 def test_exports(spark):
     scans = exports.normalize_scans(readers.parse_scans(four_scans(spark)).withColumns({"officer_id": F.lit(0), "extracted": F.lit(None).cast("string")}))
     sheet = {r.scan_id: r for r in exports.all_scans(scans).collect()}

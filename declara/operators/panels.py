@@ -9,6 +9,10 @@ from declara import catalog as c
 from declara.functions.base import strip
 
 
+def _rank(weight: Column, value: Column) -> Column:
+    return F.struct(-weight, -F.length(strip(value)), F.col("panel"))
+
+
 def merge_panels(panel_fields: DataFrame, key: str, payload: list[str] | None = None) -> DataFrame:
     """Best reading of each field over all panels, with the panel it came from.
 
@@ -19,8 +23,7 @@ def merge_panels(panel_fields: DataFrame, key: str, payload: list[str] | None =
     usable = panel_fields.filter(
         F.col("is_detected") & (F.col("value") != "") & F.col("field_name").isin(c.EXTRACTED_FIELDS))
     weight = F.when(F.col("field_name").isin(c.COMPLETENESS_FIELDS), F.col("confidence") * 10.0).otherwise(F.col("confidence"))
-    rank = F.struct(-weight, -F.length(strip(F.col("value"))), F.col("panel"))
-    best = F.min_by(F.struct(*keep, F.col("panel").alias("_panel")), rank)
+    best = F.min_by(F.struct(*keep, F.col("panel").alias("_panel")), _rank(weight, F.col("value")))
     return usable.groupBy(key, "field_name").agg(best.alias("_b")).select(
         key, "field_name", *[F.col(f"_b.{k}").alias(k) for k in keep], F.col("_b._panel").alias("panel"))
 
@@ -31,12 +34,36 @@ def field_sources(merged: DataFrame, key: str) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("field_name", "panel"))).alias("field_sources"))
 
 
-def merge_flags(panels: DataFrame, key: str) -> DataFrame:
-    """Category of the first panel that knows one, and whether any panel looks imported."""
+def _flags() -> list[Column]:
     special = F.coalesce((F.col("category") != "general") & (F.col("category") != ""), F.lit(False))
-    return panels.groupBy(key).agg(
+    return [
         F.coalesce(F.min_by(F.when(special, F.col("category")), F.when(special, F.col("panel"))), F.lit("general")).alias("category"),
-        F.coalesce(F.bool_or("is_imported"), F.lit(False)).alias("is_imported"))
+        F.coalesce(F.bool_or("is_imported"), F.lit(False)).alias("is_imported")]
+
+
+def merge_flags(panels: DataFrame, key: str) -> DataFrame:
+    """Category of the first panel that knows one, and whether any panel looks imported."""
+    return panels.groupBy(key).agg(*_flags())
+
+
+def merge_extracted(read: DataFrame, key: str) -> DataFrame:
+    """What ``merge_panels``, ``field_sources`` and ``merge_flags`` give, from extracted panels in one aggregate.
+
+    Rows: key, panel, fields, category, is_imported; the long extraction before it is run once.  One row per
+    product: ``fields`` (NULL where no panel shows one), ``field_sources``, category, is_imported.
+    """
+    def best(name: str) -> Column:
+        f = F.col("fields")[name]
+        usable = f["is_detected"] & (f["value"] != "")
+        weight = f["confidence"] * 10.0 if name in c.COMPLETENESS_FIELDS else f["confidence"]
+        return F.min_by(F.when(usable, F.struct(f.alias("f"), F.col("panel").alias("p"))), F.when(usable, _rank(weight, f["value"])))
+
+    merged = read.groupBy(key).agg(*[best(n).alias(f"_b_{n}") for n in c.EXTRACTED_FIELDS], *_flags())
+    sources = F.array_compact(F.array(*[
+        F.when(F.col(f"_b_{n}").isNotNull(), F.struct(F.lit(n).alias("k"), F.col(f"_b_{n}.p").alias("v"))) for n in c.EXTRACTED_FIELDS]))
+    return merged.select(
+        key, F.struct(*[F.col(f"_b_{n}.f").alias(n) for n in c.EXTRACTED_FIELDS]).alias("fields"),
+        F.map_from_entries(sources).alias("field_sources"), "category", "is_imported")
 
 
 def panel_summary(panels: DataFrame, key: str) -> DataFrame:
